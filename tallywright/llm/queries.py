@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, quality, secrets, simhash, topk, warc
+from . import jaccard, langid, mixing, packing, passages, quality, secrets, simhash, topk, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
+    "op2_substring_dedup": passages.op2_substring_dedup,
     "op3_top_k": topk.op3_top_k,
     "op4_simhash": simhash.op4_simhash,
     "op5_pack_documents": packing.op5_pack_documents,
