@@ -302,12 +302,16 @@ def links(index: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int =
     # pairs inside two blocks, where the hubs' answer leaves them open
     left = met.join(shared, (c("anchor_a") == c("a")) & (c("anchor_b") == c("b"))).drop("a", "b")
     left = left.filter(c("both") + c("extra_a") + c("extra_b") >= _needed(c("least_a"), c("least_b"), percent))
-    left = left.select("token", "anchor_a", "anchor_b", "component_a", "component_b", "both")
-    a, b = (x.select("token", *(c(k).alias(f"{k}_{s}") for k in ("anchor", "component", "doc_id", "n", "pos", "extra"))) for s in "ab")
-    open_ = left.join(a, ["token", "anchor_a", "component_a"]).join(b, ["token", "anchor_b", "component_b"])
-    open_ = open_.filter((c("doc_id_a") != c("anchor_a")) | (c("doc_id_b") != c("anchor_b"))).filter(sized(c("n_a"), c("n_b")))
-    open_ = open_.filter(F.least(c("n_a") - c("pos_a"), c("n_b") - c("pos_b"), c("both") + c("extra_a") + c("extra_b")) >= _needed(c("n_a"), c("n_b"), percent))
-    pairs = open_.select(c("doc_id_a").alias("a"), c("doc_id_b").alias("b")).distinct().join(both_ways.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    # the bounds are tests of the joins themselves: an entry that can't reach any of the other block is not made a row
+    kept = ("token", "anchor_a", "anchor_b", "component_a", "component_b", "both", "least_b", "rest_b", c("extra_b").alias("most_b"))
+    left = left.select(*kept)
+    a, b = (x.select(*(c(k).alias(f"{k}_{s}") for k in ("token", "anchor", "component", "doc_id", "n", "pos", "extra"))) for s in ("x", "y"))
+    same = (c("token") == c("token_x")) & (c("anchor_a") == c("anchor_x")) & (c("component_a") == c("component_x"))
+    open_ = left.join(a, same & (F.least(c("n_x") - c("pos_x"), "rest_b", c("both") + c("extra_x") + c("most_b")) >= _needed(c("n_x"), c("least_b"), percent)))
+    same = (c("token") == c("token_y")) & (c("anchor_b") == c("anchor_y")) & (c("component_b") == c("component_y"))
+    same &= ((c("doc_id_x") != c("anchor_a")) | (c("doc_id_y") != c("anchor_b"))) & sized(c("n_x"), c("n_y"))
+    open_ = open_.join(b, same & (F.least(c("n_x") - c("pos_x"), c("n_y") - c("pos_y"), c("both") + c("extra_x") + c("extra_y")) >= _needed(c("n_x"), c("n_y"), percent)))
+    pairs = open_.select(c("doc_id_x").alias("a"), c("doc_id_y").alias("b")).distinct().join(both_ways.select("a", "b").distinct(), ["a", "b"], "left_anti")
     third = written(overlaps(pairs, sets, width), "overlaps")
     return good.unionByName(third.filter(_alike(percent)))
 
