@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, buffers, shingle_sets, slices
 from .components import components
-from .scratch import drop, written
+from .scratch import drop, small_batches, written
 
 WIDTH, PERCENT = 5, 75
 #: Text hashed into one chunk and counted in one task; the part of the hash space that step 1 looks at.
@@ -319,7 +319,7 @@ def links(index: DataFrame, sets: DataFrame, width: int = WIDTH, percent: int =
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, _text, n_shingles, class_id (smallest doc_id with an equal set), component_id and the number of rows of
     each document."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    size = small_batches(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 1
     space = Space(size)
     profile = profiles(docs, space, width, percent)
     profile = written(profile.groupBy(*profile.columns).agg(F.count("*").alias("rows")), "profiles")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, buffers, mix, slices
 from .quality import fold
+from .scratch import small_batches, written
 
 GRAM, SHARE, PART, BITS, HASHES = 4, 2e-6, 0.5, 22, 3
 _FOLD = np.full(256, 32, np.uint8)
@@ -83,7 +84,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
                 k = len(code[a : a + 100_000])
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * k), "code": pa.array(code[a : a + k].astype(np.int64)), "n": pa.array(n[a : a + k])})
 
-    return rows.select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return small_batches(rows).select("text", "lang").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class Filters:
@@ -111,8 +112,6 @@ class Filters:
 
 def learn(rows: DataFrame) -> Filters:
     """``rows``: text, lang. A mask has 63 bits, so at most 63 languages, the largest by n-grams."""
-    from .scratch import written
-
     counts = written(gram_counts(rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(63).collect()
     langs = sorted(r["lang"] for r in totals)
@@ -166,7 +165,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             names = np.array([*f.langs, "und"], object)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(np.clip(score, 0, 1))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:

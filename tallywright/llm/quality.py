@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .arrays import buffers, slices, word_hashes, mix, U64
-from .scratch import written
+from .scratch import small_batches, written
 
 DIM, RIDGE, WIDTH, BINS = 256, 1e-3, 3.0, 512
 FEATURES = (
@@ -103,7 +103,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], f], names=[*keep, "f"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", f array<double>"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return small_batches(docs).select(*keep, "text").mapInArrow(run, schema)
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -245,7 +245,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
             s = pa.array(model.score(statistics(batch.column(names.index("text")))))
             yield pa.RecordBatch.from_arrays([*batch.columns, s], names=[*names, "_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

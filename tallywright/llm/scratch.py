@@ -39,3 +39,12 @@ def drop(*tables: DataFrame) -> None:
             if "/tallywright/" in part:
                 path = spark._jvm.org.apache.hadoop.fs.Path(part)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``, after the session's limit of bytes in an Arrow batch has been lowered to ``most``: tasks that work on
+    texts then hold a few batches of this size, whatever the texts' lengths are."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if int(conf.get(name).rstrip("bB")) > most:
+        conf.set(name, f"{most}b")
+    return df

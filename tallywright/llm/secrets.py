@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .scratch import small_batches
+
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -102,7 +104,7 @@ def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
     array = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
     clear = docs.drop("base_spans", "all_spans")
     names = clear.columns
-    return clear.mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField("base_spans", array), T.StructField("all_spans", array)]))
+    return small_batches(clear).mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField("base_spans", array), T.StructField("all_spans", array)]))
 
 
 def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
@@ -131,7 +133,7 @@ def redact(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") ->
                     columns[k] = pa.array([len(hits[i]) if i in hits else n for i, n in enumerate(columns[k].to_pylist())], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, buffers, mix, shingles, slices, word_hashes
-from .scratch import written
+from .scratch import small_batches, written
 
 BITS, WIDTH = 128, 3
 RADIUS, BLOCKS = 7, 8
@@ -140,7 +140,7 @@ def edits(docs: DataFrame) -> DataFrame:
                     pa.array(likeness(own, changed)), pa.array(likeness(own, after)),
                 ], names=[c.split()[0] for c in _OUT.split(", ")])
 
-    return followed(docs).drop("_text").mapInArrow(run, _OUT)
+    return small_batches(followed(docs)).drop("_text").mapInArrow(run, _OUT)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
