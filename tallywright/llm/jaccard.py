@@ -350,13 +350,14 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
         some = groups.filter(condition).select("doc_id", "_text")
         return F.broadcast(some) if some.count() <= BROADCAST else some
 
-    left = docs.withColumn("_text", F.xxhash64("text")).join(ids(F.col("goes")), ["doc_id", "_text"], "left_anti")
+    # the documents go along as one column, so their names clash with none
+    left = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_doc")).join(ids(F.col("goes")), ["doc_id", "_text"], "left_anti")
     again = groups.filter(~F.col("goes") & (F.col("rows") > 1))
     if not again.isEmpty():
         again = ids(~F.col("goes") & (F.col("rows") > 1))
         one = left.join(again, ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"])
         left = left.join(again, ["doc_id", "_text"], "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    return left.select("_doc.*")
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -76,8 +76,9 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents themselves: the columns of ``docs``, each document as often as it is taken."""
-    d = copies(docs, seed)
-    return d.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # the documents go along as one column, so their names clash with none
+    d = copies(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc")), seed)
+    return d.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

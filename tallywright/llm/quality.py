@@ -129,6 +129,8 @@ class Model:
         return self.map(x) @ (self.beta if beta is None else beta)
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.beta.any():  # nothing was learned
+            return np.full(len(x), 0.5)
         raw = self.raw(x)
         p = np.interp(raw, *self.knots)
         return np.clip(p * (1 - 1e-6) + 1e-6 * np.clip(raw, 0, 1), 0, 1)  # keeps the order within a level
@@ -233,19 +235,20 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more, their columns as they are."""
     table = written(features(docs.select(F.col("doc_id").cast("long"), "text"), ["doc_id"]), "features")
     model = fit(table, learnable(labels))
-    return judged(docs, model).filter("_score >= 0.5").drop("_score")
+    score = "_score" + "_" * max(map(len, docs.columns))  # a name that no column has
+    return judged(docs, model, score).filter(F.col(score) >= 0.5).drop(score)
 
 
-def judged(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with _score."""
+def judged(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """``docs`` with a column ``score``."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = pa.array(model.score(statistics(batch.column(names.index("text")))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, s], names=[*names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, s], names=[*names, score])
 
-    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

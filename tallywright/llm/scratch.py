@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,7 @@ def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """``df``, after the session's limit of bytes in an Arrow batch has been lowered to ``most``: tasks that work on
     texts then hold a few batches of this size, whatever the texts' lengths are."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    if int(conf.get(name).rstrip("bB")) > most:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", conf.get(name).lower()).groups()
+    if not 0 < int(number) << 10 * "bkmgtp".index(unit[:1] or "b") <= most:
         conf.set(name, f"{most}b")
     return df
