@@ -91,7 +91,8 @@ def _with_peaks(blocks: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def attempts(entries: DataFrame, key: Sequence[str] = ("request",), block: int = BLOCK) -> DataFrame:
     """One row an attempt, with the sums that are the request's as well."""
-    x = _with_peaks(attempts_by_block(entries, key, block), key)
+    # one exchange, of sums, for all that follows: the windows over blocks, the attempts and the accounts
+    x = _with_peaks(attempts_by_block(entries, key, block).repartition(*key), key)
     aggs = [F.sum(n).alias(n) for n in (*_SUMMED, *_ATTEMPT_TIMES, "generated_tokens")]
     aggs += [F.bool_or(n).alias(n) for n in ("completed", "failed", "cancelled")]
     aggs += [F.max(n).alias(n) for n in ("terminal_ns", "_start", "_end", "kv_peak", "tensor_peak")] + [F.min("_first").alias("_first")]
