@@ -25,7 +25,7 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 #: Text hashed at a time.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def _power(base: int, n: int) -> np.ndarray:
