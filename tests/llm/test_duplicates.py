@@ -126,3 +126,26 @@ def test_edited_texts(spark, small):
         edited = t[: len(t) - half] + rows[(i + 1) % len(rows)][1][:half]
         assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(t)
         assert got[d]["near_next"] == 1 - bin(int(got[d]["fingerprint"], 16) ^ int(got[rows[(i + 1) % len(rows)][0]]["fingerprint"], 16)).count("1") / 128
+
+
+def test_passages_with_inserted_and_deleted_words(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        base = prose(rng, rng.choice([80, 90, 200, 400]))
+        longer = [w for at, w in enumerate(base) for w in ([f"x{rng.randrange(999)}", w] if at % 40 == 39 else [w])]
+        shorter = [w for at, w in enumerate(base) if at % 45 != 40]
+        rows += [(3 * i + j, " ".join(prose(rng, 30) + w + prose(rng, 30))) for j, w in enumerate((base, longer, shorter))]
+    got = passages.passages(spark.createDataFrame(rows, DOCS)).collect()
+    texts = {d: words(t) for d, t in rows}
+    pairs = {(r["doc_id"], r["of_doc_id"]) for r in got}
+    assert all(a // 3 == b // 3 for a, b in pairs)
+    # each copy differs from its base by 0.8 or more: a sample may lose a few
+    assert len({a for a, _ in pairs}) >= 0.95 * len(rows)
+    for r in got:
+        part = texts[r["doc_id"]][r["start_word"] : r["end_word"]]
+        assert len(part) >= 50 and 0.75 <= r["similarity"] <= 1
+        own = {tuple(part[i : i + 5]) for i in range(len(part) - 4)}
+        other = texts[r["of_doc_id"]][r["of_start_word"] :]
+        most = max(len(own & s) / len(own | s) for n in range(50, len(other) + 1) for s in [{tuple(other[i : i + 5]) for i in range(n - 4)}])
+        assert most >= r["similarity"] - 1e-9
