@@ -149,3 +149,16 @@ def test_passages_with_inserted_and_deleted_words(spark):
         other = texts[r["of_doc_id"]][r["of_start_word"] :]
         most = max(len(own & s) / len(own | s) for n in range(50, len(other) + 1) for s in [{tuple(other[i : i + 5]) for i in range(n - 4)}])
         assert most >= r["similarity"] - 1e-9
+
+
+def test_exact_passages_with_a_frequent_phrase(spark):
+    rng = random.Random(21)
+    phrase, rows = prose(rng, 25), []
+    for i in range(150):
+        shared = prose(rng, 15) + phrase + prose(rng, 15)
+        rows += [(2 * i + j, " ".join(prose(rng, 60) + shared + prose(rng, 60))) for j in (0, 1)]
+    told = {}
+    for r in passages.passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect():
+        told.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    for d, starts in repeats(rows).items():
+        assert starts and all(covered(told.get(d, []), i) for i in starts)
