@@ -32,8 +32,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z])(?=.*[A-Z].*[A-Z])(?=.*[a-z].*[A-Z].*[a-z])", re.S)
 _KNOWN = re.compile(
     r"(?:[0-9A-Fa-f]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # digests, UUIDs
-    r"|[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]*|[0-9+/_=-]+|/?(?:[A-Za-z0-9]+[-_/=+]+){2,}[A-Za-z0-9]*)"  # names, numbers, paths
+    r"|[0-9+/_=-]+)"  # numbers
 )
+_SIGNS = re.compile(r"[-_/=+]+")
+_WORD = re.compile(r"[a-z]{1,12}[0-9]{0,2}|[A-Z]{1,12}[0-9]{0,2}|[A-Z][a-z]{1,11}[0-9]{0,2}|[0-9]{1,8}")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _encodings: dict = {}
 
@@ -57,6 +59,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+def named(run: str, encode) -> bool:
+    """A path or a name: every part between signs is a short word or number, or passes the token test itself. The signs
+    are letters of base64 as well, so they alone say nothing."""
+    return all(_WORD.fullmatch(x) or len(x) >= RATIO * len(encode(x)) for x in _SIGNS.split(run) if x)
+
+
 def random_spans(text: str, found: list[tuple[int, int, str]], encode) -> list[tuple[int, int, str]]:
     out = []
     for m in _RUN.finditer(text):
@@ -64,7 +72,7 @@ def random_spans(text: str, found: list[tuple[int, int, str]], encode) -> list[t
         run = m[0]
         if any(x < b and a < y for x, y, _ in found) or not _MIXED.match(run) or _KNOWN.fullmatch(run):
             continue
-        if len(run) < RATIO * len(encode(run)):
+        if len(run) < RATIO * len(encode(run)) and not named(run, encode):
             out.append((a, b, KINDS[3]))
     return out
 

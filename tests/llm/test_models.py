@@ -155,3 +155,9 @@ def test_pipeline(spark, small):
 def test_empty_table_goes_through_each_stage(spark, small, n):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[n][1](spark, docs, small).count() == 0
+
+
+def test_keys_with_signs_are_random():
+    encode = secrets.encoding(None).encode_ordinary
+    for text, n in (("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 1), ("q83vEjRWeJCrze8/+SNFZ4k=", 1), ("Zk3-Qp9_xV7-Lm2Rt8_Wc4yB", 1), ("hJ9+kQ2/Xz7LmP4vRt8Yb3==", 1), ("qXvZkJwPbTgRmYcNfHdLsQ", 1), ("src/main/java/org/Example/Test2", 0), ("release-2024-01-15-build-42", 0)):
+        assert len(secrets.random_spans(f"see {text} here", [], encode)) == n, text
