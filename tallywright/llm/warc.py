@@ -95,6 +95,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             out = []
             for part in batch.column(0).to_pylist():
                 if head is None:
+                    part = part.removeprefix("\r\n")  # of the separator, see below
                     if not part:
                         continue
                     head = dict(x.split(": ", 1) for x in part.split("\r\n")[1:] if ": " in x)
@@ -102,6 +103,9 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     continue
                 parts.append(part)
                 have += len(END) + len(part.encode())
+                if want - have == 2:  # the payload ends in a line break, with which the split began: its own end opens the next part
+                    parts[-1] += "\r\n"
+                    have = want
                 if have > want:
                     raise ValueError(f"a record of {want} bytes doesn't end where its head says")
                 if have == want:

@@ -161,3 +161,11 @@ def test_keys_with_signs_are_random():
     encode = secrets.encoding(None).encode_ordinary
     for text, n in (("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", 1), ("q83vEjRWeJCrze8/+SNFZ4k=", 1), ("Zk3-Qp9_xV7-Lm2Rt8_Wc4yB", 1), ("hJ9+kQ2/Xz7LmP4vRt8Yb3==", 1), ("qXvZkJwPbTgRmYcNfHdLsQ", 1), ("src/main/java/org/Example/Test2", 0), ("release-2024-01-15-build-42", 0)):
         assert len(secrets.random_spans(f"see {text} here", [], encode)) == n, text
+
+
+def test_warc_payloads_that_end_in_line_breaks(spark):
+    texts = ["abc\r\n", "\r\n", "x\r\n\r\n\r\n", "\r\n\r\n\r\n", "\r", "\n", "a\r", "a\r\n\r", "b\n\r\n", "", "é\r\n\r\n", "last\r\n"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", F.lit("u"))
+    for parts in (1, len(texts)):
+        back = warc.read(spark, warc.deduplicate(pages.repartition(parts, "page_id"), new_path(spark, "w"))).collect()
+        assert {r["page_id"]: r["payload"] for r in back} == dict(enumerate(texts)) and len(back) == len(texts)
