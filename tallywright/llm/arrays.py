@@ -141,3 +141,22 @@ def shingle_sets(column, width: int = 5) -> Iterator[tuple[int, int, np.ndarray,
         keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
         values, rows = values[keep], rows[keep]
         yield a, b, values, np.searchsorted(rows, np.arange(b - a + 1))
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on as planes of as many bytes as the largest needs."""
+    x = np.ascontiguousarray(numbers).astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def wide(packed: bytes, *counts: int) -> list[np.ndarray]:
+    """The columns, of so many numbers each, that ``narrow`` has packed one after the other."""
+    out, at = [], 0
+    for n in counts:
+        width = packed[at]
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(packed, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(x.view("<i8").ravel())
+        at += 1 + n * width
+    return out
