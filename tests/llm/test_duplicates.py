@@ -162,3 +162,38 @@ def test_exact_passages_with_a_frequent_phrase(spark):
         told.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
     for d, starts in repeats(rows).items():
         assert starts and all(covered(told.get(d, []), i) for i in starts)
+
+
+def test_recall_of_near_passages_at_the_threshold(spark):
+    """Passages of 50 to 60 words whose shingle sets are alike by 0.75 to 0.8: nine in ten are to be met."""
+    rng = random.Random(75)
+    phrase, rows, asked = prose(rng, 12), [], 0
+    while asked < 400:
+        own = prose(rng, rng.randrange(38, 49)) + phrase  # the phrase is in every passage
+        other = list(own)
+        other[rng.randrange(6, len(own) - 18)] = "edit"
+        if len(own) > 54:
+            other[5] = "more"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (own, other))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.8:
+            rows += [(2 * asked, " ".join(prose(rng, 60) + own + prose(rng, 60))), (2 * asked + 1, " ".join(prose(rng, 60) + other + prose(rng, 60)))]
+            asked += 1
+    got = {(r["doc_id"], r["of_doc_id"]) for r in passages.passages(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert all(a // 2 == b // 2 for a, b in got)
+    assert sum((2 * i, 2 * i + 1) in got and (2 * i + 1, 2 * i) in got for i in range(asked)) >= 0.9 * asked
+
+
+def test_passages_of_clashing_ids_and_long_texts(spark):
+    rng = random.Random(5)
+    shared, line = prose(rng, 70), prose(rng, 9)
+    long = prose(rng, 30_000)
+    rows = [(1, " ".join(shared + prose(rng, 40))), (1, " ".join(prose(rng, 40) + shared)), (2, " ".join(prose(rng, 90)))]
+    rows += [(2, rows[0][1]), (3, " ".join(long + shared)), (4, " ".join(prose(rng, 100) + long[9_000:29_000]))]
+    rows += [(5 + i, " ".join(prose(rng, 20) + line * 12 + prose(rng, 20))) for i in range(30)]
+    rows += [(50, " ".join(prose(rng, 60)))] * 2  # a repeated row
+    got = passages.passages(spark.createDataFrame(rows, DOCS)).collect()
+    ids = [r["doc_id"] for r in got]
+    assert set(ids) == {1, 2, 3, 4, *range(5, 35), 50}
+    assert all(ids.count(5 + i) == 1 for i in range(30))  # one row for a text of repeats, not one for each offset
+    assert any(r["doc_id"] == 4 and r["start_word"] == 100 and r["end_word"] >= 20_000 for r in got)
+    assert any(r["doc_id"] == 3 and r["start_word"] == 9_000 for r in got)
