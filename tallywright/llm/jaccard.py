@@ -33,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import U64, buffers, shingle_sets, slices
+from .arrays import U64, buffers, narrow, shingle_sets, slices, wide
 from .components import components
 from .scratch import drop, small_batches, written
 
 WIDTH, PERCENT = 5, 75
 #: Text hashed into one chunk and counted in one task; the part of the hash space that step 1 looks at.
 CHUNK, PART, PROBED = 8 << 20, 16 << 20, 0.5
+#: At most so many ranges of the hash space, so that a chunk has many numbers for each of them; beyond, ranges hold more.
+PARTS = 1 << 16
 #: Up to so many class representatives are sent to all executors to pick their texts; beyond, texts are shuffled.
 BROADCAST = 1_000_000
 
@@ -69,7 +71,7 @@ class Space:
 
     def __init__(self, text_bytes: int):
         self.bits = min(48, max(24, math.ceil(math.log2(max(2, text_bytes))) + 6))
-        self.parts = max(1, math.ceil(text_bytes / PART))
+        self.parts = min(PARTS, max(1, math.ceil(text_bytes / PART)))
 
     def reduce(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> U64(64 - self.bits)
@@ -87,6 +89,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _PACKED)], schema=_PACKED)
 
 
+def _asked(once: np.ndarray, who: np.ndarray) -> bytes:
+    """Which numbers one document of the chunk has, and that document."""
+    return np.packbits(once).tobytes() + who[once].tobytes()
+
+
 def _repeated(tables: list[np.ndarray]) -> np.ndarray:
     """Numbers that occur more than once in all tables, ascending."""
     x = np.sort(np.concatenate(tables)) if tables else np.zeros(0, np.uint64)
@@ -129,8 +136,10 @@ def profiles(docs: DataFrame, space: Space, width: int = WIDTH, percent: int = P
                         keys.append(r[some] << U64(16) | who[some].astype(np.uint64))
                     keys = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
                     r, who = keys >> U64(16), (keys & U64(0xFFFF)).astype(np.uint16)
-                    at = np.searchsorted(r, cut)
-                    rows = [(p, chunk, 1, _pack(r[x:y]), who[x:y].tobytes()) for p, (x, y) in enumerate(zip(at, at[1:])) if y > x]
+                    # a number goes once, however many documents of the chunk have it; only of one document is it asked
+                    r, first, times = np.unique(r, return_index=True, return_counts=True)
+                    who, at = who[first], np.searchsorted(r, cut)
+                    rows = [(p, chunk, 1, _pack(r[x:y]), _asked(times[x:y] == 1, who[x:y])) for p, (x, y) in enumerate(zip(at, at[1:])) if y > x]
                     ids = batch.column(0).slice(a, b - a).fill_null(0).to_numpy().astype(np.int64)
                     text = batch.column(1).slice(a, b - a).to_numpy().astype(np.int64)
                     what = np.stack([ids, valid.astype(np.int64), text, n, sig_a.view(np.int64), sig_b.view(np.int64)])
@@ -144,7 +153,8 @@ def profiles(docs: DataFrame, space: Space, width: int = WIDTH, percent: int = P
         out = []
         for kind, chunk, first, second, x in zip(kinds, chunks, a, b, numbers):
             if kind:
-                single = np.bincount(np.frombuffer(second, np.uint16)[~_among(x, again)])
+                once = np.unpackbits(np.frombuffer(second, np.uint8), count=len(x)).astype(bool)
+                single = np.bincount(np.frombuffer(second, np.uint16, offset=-(-len(x) // 8))[~_among(x[once], again)])
                 who = np.flatnonzero(single)
                 out.append((0, chunk, 1, who.astype(np.uint16).tobytes(), single[who].astype(np.uint32).tobytes()))
             else:
@@ -187,14 +197,15 @@ def entries(sets: DataFrame, space: Space, width: int = WIDTH, percent: int = PE
         return np.concatenate(parts or [np.zeros(0, np.uint64)]), np.concatenate(sizes or [np.zeros(0, np.int64)])
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        r = np.sort(space.reduce(hashed(distinct(table))[0]))
+        r, times = np.unique(space.reduce(hashed(distinct(table))[0]), return_counts=True)
         at = np.searchsorted(r, cut)
         chunk = key[0].as_py()
-        return pa.Table.from_batches([_rows([(p, chunk, 1, _pack(r[x:y]), b"") for p, (x, y) in enumerate(zip(at, at[1:])) if y > x])])
+        return pa.Table.from_batches([_rows([(p, chunk, 1, _pack(r[x:y]), narrow(times[x:y])) for p, (x, y) in enumerate(zip(at, at[1:])) if y > x])])
 
     def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         numbers = [_unpack(x) for x in table["a"].to_pylist()]
-        values, how_many = np.unique(np.concatenate(numbers), return_counts=True)
+        values, which = np.unique(np.concatenate(numbers), return_inverse=True)
+        how_many = np.bincount(which, np.concatenate([wide(b, len(x))[0] for b, x in zip(table["b"].to_pylist(), numbers)]))
         part = key[0].as_py()
         rows = [(part, c, 1, np.minimum(how_many[np.searchsorted(values, x)], 255).astype(np.uint8).tobytes(), b"") for c, x in zip(table["chunk"].to_pylist(), numbers)]
         return pa.Table.from_batches([_rows(rows)])
@@ -204,8 +215,10 @@ def entries(sets: DataFrame, space: Space, width: int = WIDTH, percent: int = PE
         values, sizes = hashed(table)
         order = np.argsort(space.reduce(values), kind="stable")
         parts = dict(zip(counts["part"].to_pylist(), counts["a"].to_pylist()))
+        reduced = space.reduce(values)[order]
+        number = np.cumsum(np.concatenate([[0], reduced[1:] != reduced[:-1]]))[: len(values)]  # of the chunk's distinct ones
         often = np.zeros(len(values), np.uint8)
-        often[order] = np.frombuffer(b"".join(parts[p] for p in sorted(parts)), np.uint8)
+        often[order] = np.frombuffer(b"".join(parts[p] for p in sorted(parts)), np.uint8)[number]
         begin = np.concatenate([[0], np.cumsum(sizes)])
         first = prefix(sizes, percent)
         tokens, who, place = [], [], []
