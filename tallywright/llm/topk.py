@@ -2,11 +2,13 @@
 
 Vectors are packed into tiles: matrices of a few thousand rows. Each candidate tile meets each tile of queries in one
 matrix product; a partial selection keeps the tile's k best for each query, a task merges its tiles, and Spark merges
-the tasks' lists, first within each partition and then by query. Tiles are dealt by slots: each
-tile of queries goes to every slot, each tile of candidates to one, so that neither the queries nor the candidates are
-gathered anywhere and a task holds one tile of each at a time.
+the tasks' lists, first within each partition and then by query. Tiles are dealt over a grid, whose rows and columns
+follow from the numbers of tiles: each tile of queries goes to every column of its row, each tile of candidates to every
+row of its column, so that neither side is gathered anywhere. A task holds a tile of each at a time and the lists of one
+tile of queries, which it gives out when the next one comes.
 
-Products are made in float64 while each one is below 2**53, so that sums are exact, else in int64.
+Products are made in float64 while each one is below 2**53, so that sums are exact, else in int64. A component whose
+256-fold is beyond 64 bits counts as the largest number of 64 bits, and so does a score, with its sign.
 
 Edge cases: vectors that are null, or hold a null or a non-finite component, take no part; neither do rows with a null
 id, nor pairs of different lengths; ties go to the smaller id; a repeated row of a candidate is a candidate each time, a
@@ -16,13 +18,15 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-TILE, BLOCK, SLOTS = 8192, 2048, 64
+TILE, BLOCK = 8192, 2048
+PAIRS, CELLS = 16, 65_536  # pairs of tiles that a cell of the grid is to have, and its most cells
 SCALE = 256
 _TILE = "dim int, ids binary, rows binary"
 
@@ -64,10 +68,17 @@ def tiles(vectors: DataFrame, rows: int) -> DataFrame:
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    high = [np.maximum(x.max(1, initial=0).astype(float), -x.min(1, initial=0).astype(float)) for x in (q, c)]
+    most = high[0].max(initial=0) * high[1].max(initial=0) * q.shape[1]
     if most < 2**53:
         return (q.astype(float) @ c.astype(float).T).astype(np.int64)
-    return q @ c.T
+    out = q @ c.T
+    if most >= 2**63:  # those pairs that may leave 64 bits, by whole numbers of any size
+        wide = high[0][:, None] * high[1][None, :] * q.shape[1] >= 2**63
+        i, j = np.flatnonzero(wide.any(1)), np.flatnonzero(wide.any(0))
+        exact = q[i].astype(object) @ c[j].astype(object).T
+        out[np.ix_(i, j)] = np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -84,10 +95,23 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs: vec_id, v (arrays of integers); a row isn't its own candidate."""
 
+    names = ["query_id", "vec_id", "score"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        tile_of = None
+
+        def told() -> pa.RecordBatch:
+            ids = np.repeat(np.array(list(top), np.int64), [len(v) for v, _ in top.values()])
+            columns = [ids, *(np.concatenate(c) for c in zip(*top.values()))]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+
         for batch in batches:
             for dim, qi, qv, ci, cv in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if qi != tile_of:  # the join gives all candidates of a tile of queries one after the other
+                    if top:
+                        yield told()
+                    top, tile_of = {}, qi
                 qi, ci = np.frombuffer(qi, np.int64), np.frombuffer(ci, np.int64)
                 q, c = np.frombuffer(qv, np.int64).reshape(len(qi), dim), np.frombuffer(cv, np.int64).reshape(len(ci), dim)
                 order = np.argsort(ci, kind="stable")
@@ -105,17 +129,20 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = B
                             found = tuple(map(np.concatenate, zip(top[i], found)))
                             at = np.lexsort((found[0], -found[1]))[:k]
                             found = (found[0][at], found[1][at])
-                        top[i] = (found[0][:k], found[1][:k])
-        rows = [(i, v, s) for i, (vs, ss) in top.items() for v, s in zip(vs.tolist(), ss.tolist())]
-        for a in range(0, len(rows), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[a : a + 100_000])], names=["query_id", "vec_id", "score"])
+                        top[i] = found
+        if top:
+            yield told()
 
     once = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = -(-max(1, once.count()) // block)
-    slot = F.pmod(F.xxhash64("ids"), F.lit(SLOTS)).cast("int")
-    q = tiles(once.repartition(blocks, F.xxhash64("vec_id")), block).withColumnsRenamed({"ids": "q_ids", "rows": "q_rows"})
-    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
-    pairs = q.join(tiles(candidates, tile).withColumn("slot", slot), ["slot", "dim"]).select("dim", "q_ids", "q_rows", "ids", "rows")
+    blocks, others = (-(-max(1, df.count()) // size) for df, size in ((once, block), (candidates, tile)))
+    cells = min(CELLS, -(-blocks * others // PAIRS))
+    rows = min(blocks, max(1, round(math.sqrt(cells * blocks / others))))
+    columns = min(others, -(-cells // rows))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = tiles(once.repartition(blocks, F.xxhash64("vec_id")), block).withColumn("row", dealt(rows)).withColumn("column", every(columns))
+    c = tiles(candidates, tile).withColumn("column", dealt(columns)).withColumn("row", every(rows))
+    pairs = q.withColumnsRenamed({"ids": "q_ids", "rows": "q_rows"}).join(c, ["row", "column", "dim"]).select("dim", "q_ids", "q_rows", "ids", "rows")
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
