@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from .arrays import U64, buffers, mix, shingles, slices, word_hashes
 from .scratch import small_batches, written
 
 BITS, WIDTH = 128, 3
-RADIUS, BLOCKS = 7, 8
+RADIUS = 3
 _OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
 
 
@@ -60,9 +61,17 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(x ^ y).sum(1) / BITS
 
 
-def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(prints: int, radius: int) -> int:
+    """Blocks so that a table's key, blocks - radius of them, has as many bits as the number of fingerprints: a key then
+    holds a few of them by chance, however many there are."""
+    need = max(16, math.ceil(math.log2(max(2, prints))))
+    return next(b for b in range(radius + 1, BITS // 4 + 1) if (BITS // 4 // b) * 4 * (b - radius) >= need or b == BITS // 4)
+
+
+def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """query, fingerprint, distance: for each distinct fingerprint of ``queries`` all distinct ones of ``index`` at most
-    ``radius`` bits away. Both inputs have a column ``fingerprint`` (hexadecimal)."""
+    ``radius`` bits away. Both inputs have a column ``fingerprint`` (hexadecimal). ``blocks``: see ``blocks_for``."""
+    blocks = blocks or blocks_for(index.select("fingerprint").distinct().count(), radius)
     digits, size = BITS // 4, BITS // 4 // blocks
     tables = list(itertools.combinations(range(blocks), blocks - radius))
 
@@ -103,7 +112,7 @@ def followed(docs: DataFrame) -> DataFrame:
 
     x = docs.select("doc_id", "text", F.posexplode(places(key)).alias("_copy", "_bucket"))
     x = x.select("_bucket", (F.col("_copy") == 0).alias("_own"), "doc_id", "text", F.xxhash64("text").alias("_text"))
-    return x.repartition(n, "_bucket").sortWithinPartitions("_bucket", F.desc("_own"), F.col("doc_id").desc_nulls_last(), "_text")
+    return x.repartitionById(n, "_bucket").sortWithinPartitions("_bucket", F.desc("_own"), F.col("doc_id").desc_nulls_last(), "_text")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
