@@ -1,11 +1,12 @@
 """Packing documents into sequences of a fixed number of tokens.
 
 Each document becomes its token ids and an end id. Only a document longer than a sequence is cut, into full pieces
-after a shorter first one. Pieces are dealt by hash into groups of bounded size; each group is packed best fit, longest
-first, and improved by a local search that takes documents out of the emptiest bin: it moves one to another bin, or
-exchanges it for one or for two shorter ones of another underfull bin. Each step raises the sum of squared fills, until
-the bin is empty; the search ends when the emptiest bin can't be emptied or no bin can be saved. What is left in underfull bins is then
-dealt into new groups and packed again, so that the split into groups costs next to nothing.
+after a shorter first one. Pieces are dealt by their rows' numbers into groups of bounded size; each group is packed best
+fit, longest first, and improved by a swap-based local search over its underfull bins: the emptiest bin gives a document
+to a fuller one that has room for it, or exchanges it for one or for two shorter documents of that bin. Each step raises
+the sum of squared fills. A bin from which no step leads goes back as it is and the next emptiest one gives; the search
+ends when a whole round of bins finds no step or no bin can be saved. What is left in underfull bins is then dealt into
+new groups and packed again, so that the split into groups costs next to nothing.
 
 Edge cases: a null or empty text is its end id alone; repeated rows are packed each; null doc_ids are packed like
 others; an empty table gives an empty result; a very long text is cut into as many pieces as it takes.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from .arrays import buffers, slices
 from .scratch import small_batches, written
 
-SEQUENCE, END, GROUP = 1024, 2, 16_384
+SEQUENCE, END, GROUP = 1024, 2, 8_192
 VOCABULARY = "byte_bpe_50k.json"
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,10 +56,10 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, end:
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_pieces, path=path, size=size, end=end), PIECE)
 
 
-def fill(lengths: np.ndarray, size: int) -> np.ndarray:
+def fill(lengths: np.ndarray, size: int, search: bool = True) -> np.ndarray:
     """The bin of each item: best fit, longest first, then the local search."""
     order = np.argsort(-lengths, kind="stable")
-    bin_of, room, items = np.zeros(len(lengths), np.int64), [], []
+    room, items = [], []
     by_room: list[list[int]] = [[] for _ in range(size + 1)]
     have = 0  # bit r: there is a bin with room r
     for i in order.tolist():
@@ -78,53 +79,80 @@ def fill(lengths: np.ndarray, size: int) -> np.ndarray:
         if r > n:
             by_room[r - n].append(b)
             have |= 1 << (r - n)
-    _search(lengths, size, room, items)
+    bins = np.zeros(len(lengths), np.int64)
     for b, x in enumerate(items):
-        bin_of[x] = b
-    return bin_of
+        bins[x] = b
+    return improve(lengths, size, bins)[0] if search else bins
 
 
-def _search(lengths: np.ndarray, size: int, room: list[int], items: list[list[int]]) -> None:
-    """Empty bins, the emptiest first, by moves and exchanges with underfull bins."""
+class _Offers:
+    """What each underfull bin can give for a document: nothing, one document, or two, as sums of lengths. Documents of
+    one length are alike, and a bin has few different lengths, as they add up to no more than a sequence."""
+
+    def __init__(self, lengths: list[int], items: list[int]):
+        self.by_length: dict[int, list[int]] = {}
+        for i in items:
+            self.by_length.setdefault(lengths[i], []).append(i)
+        one = np.array(sorted(self.by_length), np.int64)
+        i, j = np.triu_indices(len(one))
+        twice = (i != j) | np.array([len(self.by_length[n]) > 1 for n in one.tolist()], bool)[i]
+        zero = np.zeros(1, np.int64)
+        self.first = np.concatenate([zero, one, one[i[twice]]])
+        self.second = np.concatenate([zero, zero.repeat(len(one)), one[j[twice]]])
+        self.total = self.first + self.second
+
+
+def improve(lengths: np.ndarray, size: int, bins: np.ndarray) -> tuple[np.ndarray, int]:
+    """A packing made better by moves and exchanges between underfull bins, and how many were made."""
     n = lengths.tolist()
-    least = -(-sum(n) // size)
+    least, steps = -(-sum(n) // size), 0
+    items: list[list[int]] = [[] for _ in range(int(bins.max(initial=-1)) + 1)]
+    for i, b in enumerate(bins.tolist()):
+        items[b].append(i)
+    fills = [sum(n[i] for i in x) for x in items]
     used = sum(map(bool, items))
-    while used > least:
-        open_ = sorted((b for b in range(len(room)) if room[b] and items[b]), key=lambda b: -room[b])
-        if len(open_) < 2 or sum(room[b] for b in open_[1:]) < size - room[open_[0]]:
-            return
-        donor, others = open_[0], open_[1:]
-        changed = True
-        while items[donor] and changed:
-            changed = False
-            for i in sorted(items[donor], key=lambda i: -n[i]):
-                best = None  # tokens gained by another bin, that bin, what it gives
-                for b in others:
-                    r = room[b]
-                    if not r:
-                        continue
-                    if n[i] <= r:
-                        best = (n[i], b, ()) if best is None or best[0] < n[i] else best
-                        continue
-                    give = [(n[j], (j,)) for j in items[b] if n[j] < n[i]]
-                    give += [(n[j] + n[k], (j, k)) for at, j in enumerate(items[b][:12]) for k in items[b][at + 1 : 12] if n[j] + n[k] < n[i]]
-                    for back, what in give:
-                        gain = n[i] - back
-                        if gain <= r and (best is None or best[0] < gain):
-                            best = (gain, b, what)
-                if best:
-                    gain, b, what = best
-                    # the other bin is at least as full as the donor, so the sum of squared fills rises
-                    items[donor].remove(i)
-                    items[b] = [j for j in items[b] if j not in what] + [i]
-                    items[donor] += what
-                    room[b] -= gain
-                    room[donor] += gain
-                    changed = True
-                    break
-        if items[donor]:
-            return
-        used -= 1
+    before = -1
+    while before < steps and used > least:
+        before = steps
+        open_ = sorted((b for b in range(len(items)) if 0 < fills[b] < size), key=lambda b: (fills[b], b))
+        offers = {b: _Offers(n, items[b]) for b in open_}
+        stuck: set[int] = set()
+        while used > least and (donor := min((b for b in offers if b not in stuck), key=lambda b: (fills[b], b), default=None)) is not None:
+            others = [b for b in offers if b != donor and fills[b] >= fills[donor]]
+            step = None
+            if others:
+                total = np.concatenate([offers[b].total for b in others])
+                which = np.repeat(np.arange(len(others)), [len(offers[b].total) for b in others])
+                room = size - np.array([fills[b] for b in others])[which]
+                for length in sorted(offers[donor].by_length, reverse=True):
+                    gain = length - total
+                    fits = np.flatnonzero((gain > 0) & (gain <= room))
+                    if len(fits):  # the largest rise of the sum of squares
+                        rise = gain[fits] * (np.array(fills)[others][which[fits]] - fills[donor] + gain[fits])
+                        at = fits[rise.argmax()]
+                        step = (length, others[which[at]], int(at - np.searchsorted(which, which[at])))
+                        break
+            if step is None:
+                stuck.add(donor)
+                continue
+            length, b, k = step
+            i = offers[donor].by_length[length][0]
+            back = [offers[b].by_length[x][-1 - (second and offers[b].first[k] == offers[b].second[k])] for second, x in enumerate((int(offers[b].first[k]), int(offers[b].second[k]))) if x]
+            items[donor] = [x for x in items[donor] if x != i] + back
+            items[b] = [x for x in items[b] if x not in back] + [i]
+            for x in (donor, b):
+                fills[x] = sum(n[y] for y in items[x])
+                if 0 < fills[x] < size:
+                    offers[x] = _Offers(n, items[x])
+                else:
+                    offers.pop(x, None)
+            stuck.discard(b)
+            steps += 1
+            if not items[donor]:
+                used, stuck = used - 1, set()
+    for b, x in enumerate(items):
+        bins[x] = b
+    return bins, steps
 
 
 def _pack(key: tuple, table: pa.Table, size: int, base: int) -> pa.Table:
@@ -160,7 +188,8 @@ def packed(pieces_table: DataFrame, size: int = SEQUENCE, group: int = GROUP) ->
 
     def dealt(df: DataFrame, seed: int) -> DataFrame:
         n = max(1, -(-df.count() // group))
-        return df.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)), F.lit(n)))
+        # by the rows' numbers, so that equal rows are not one group; the table is written, so they stay the same
+        return df.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(n)))
 
     first = dealt(pieces_table, 1).groupBy("_group").applyInArrow(into(0), schema)
     first = written(first, "packed")
