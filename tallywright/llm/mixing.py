@@ -6,11 +6,11 @@ once for each integer that its part of the sum crosses. The order goes by size f
 holds documents of all sizes in proportion and the words taken come near the target.
 
 Nothing is gathered in one task: the place of a document in its source is found from counts per (source, size) and per
-(source, size, doc_id mod 64), and a window over rows of one such cell. Only the table with one row per source goes
-through one window.
+(source, size, salt), and a window over rows of one such cell. The salt is a hash of doc_id, or of the text where that is
+null; there are SALTS of them for each SALTED rows. Only the table with one row per source goes through one window.
 
 Edge cases: a null or empty text has size 0; null is a source of its own, the last; a null doc_id sorts first in its
-cell; repeated rows are documents of their own; sources without words get a target of 0 and take nothing; an empty
+cell, by its text; repeated rows are documents of their own; sources without words get a target of 0 and take nothing; an empty
 table gives an empty result. Columns other than doc_id, text and source are carried along by ``mix``.
 """
 
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .scratch import written
+
 WEIGHTS, MOST = (1, 2, 3), 3
-SALTS = 64
+SALTS, SALTED = 64, 1_000_000_000
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,11 +52,20 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies, one row per input row."""
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with _size and _mark, a 32-bit hash of doc_id or, where that is null, of the text."""
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    return docs.withColumns({"_size": word_count(F.col("text")), "_mark": F.conv(F.substring(mark, 1, 8), 16, 10).cast("long")})
+
+
+def copies(docs: DataFrame, seed: int = 17, ready: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...; or, if ``ready``, as ``measured`` gives them) with _size, _source_size, _target
+    and _copies, one row per input row."""
+    docs = docs if ready else measured(docs)
+    salts = SALTS * (1 + docs.count() // SALTED)
     # a key without nulls, so that the window and the join below share one exchange of the documents
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    d = docs.withColumns({"_size": word_count(F.col("text")), "_salt": F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int"), "_key": key})
+    d = docs.withColumns({"_salt": (F.col("_mark") % salts).cast("int"), "_key": key})
     cells = d.groupBy("_key", "_size", "_salt").agg(F.count("*").alias("_n"))
     by_size = cells.groupBy("_key", "_size").agg(F.sum("_n").alias("_all"))
     sizes = by_size.groupBy("_key").agg(F.sum(F.col("_all") * F.col("_size")).alias("source_size"))
@@ -65,31 +76,33 @@ def copies(docs: DataFrame, seed: int = 17) -> DataFrame:
     by_size = by_size.withColumn("_smaller", F.coalesce(F.sum("_all").over(smaller), F.lit(0))).join(t, "_key").drop("_all")
     lower = W.partitionBy("_key", "_size").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_lower", F.coalesce(F.sum("_n").over(lower), F.lit(0))).join(by_size, ["_key", "_size"]).drop("_n")
-    d = d.withColumn("_row", F.row_number().over(W.partitionBy("_key", "_size", "_salt").orderBy("doc_id")))
+    d = d.withColumn("_row", F.row_number().over(W.partitionBy("_key", "_size", "_salt").orderBy("doc_id", "_mark")))
     d = d.join(cells, ["_key", "_size", "_salt"]).withColumn("_first", F.col("_smaller") + F.col("_lower"))
     each = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     place = (F.col("_first") + F.col("_row")).cast("double")
     start = offset(F.when(F.col("_key") != "", F.substring("_key", 2, 2**31 - 1)), seed)
     crossed = F.floor(place * each + start) - F.floor((place - 1) * each + start)
-    return d.withColumn("_copies", F.least(F.lit(MOST), crossed).cast("long")).drop("_key", "_smaller", "_lower", "_first", "_row", "_salt")
+    return d.withColumn("_copies", F.least(F.lit(MOST), crossed).cast("long")).drop("_key", "_smaller", "_lower", "_first", "_row", "_salt", "_mark")
 
 
 def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents themselves: the columns of ``docs``, each document as often as it is taken."""
     # the documents go along as one column, so their names clash with none
-    d = copies(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc")), seed)
+    d = copies(measured(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))).drop("text"), seed, ready=True)
     return d.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    d = copies(docs)
+    # words are counted once, and the texts go no further
+    d = copies(written(measured(docs).drop("text"), "sizes"), ready=True)
     return d.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 OP6_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) AS mark FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
 w AS (SELECT *, (place - 1) % 3 + 1 AS weight, CAST(3 * source_size AS DOUBLE) / ((place - 1) % 3 + 1) AS room FROM p),
@@ -101,7 +114,7 @@ t AS (SELECT source, source_size, CASE WHEN level IS NULL OR room <= level THEN
     CAST(CAST('0x' || substr(md5('17:' || coalesce(source, chr(0))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM f, l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each,
-    CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, ((coalesce(d.doc_id, 0) % 64) + 64) % 64, d.doc_id NULLS FIRST) AS DOUBLE) AS place
+    CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.mark % 64, d.doc_id NULLS FIRST, d.mark) AS DOUBLE) AS place
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(least(3, CAST(floor(place * each + u) - floor((place - 1) * each + u) AS BIGINT)) * size AS BIGINT) AS taken FROM r
