@@ -13,6 +13,7 @@ source or doc_id is an input of a score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,8 +149,8 @@ def _solve(a: np.ndarray, c: np.ndarray, n: float) -> np.ndarray:
 
 
 def _sums(train: DataFrame, model: Model) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """Normal equations of each half: summed by partition, then in two levels."""
-    size = DIM + 1
+    """Normal equations of each half: summed by partition, then in two levels of about equal fan-in."""
+    size, groups = DIM + 1, max(1, math.isqrt(train.rdd.getNumPartitions()))
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, float) for x in table["sums"].to_pylist())
@@ -167,7 +168,7 @@ def _sums(train: DataFrame, model: Model) -> dict[int, tuple[np.ndarray, np.ndar
                 sums[h][size] += z[k].T @ y[k]
                 sums[h][size + 1, 0] += k.sum()
         task = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"half": pa.array([0, 1], pa.int32()), "task": pa.array([task % 16] * 2, pa.int32()), "sums": [sums[h].tobytes() for h in (0, 1)]})
+        yield pa.RecordBatch.from_pydict({"half": pa.array([0, 1], pa.int32()), "task": pa.array([task % groups] * 2, pa.int32()), "sums": [sums[h].tobytes() for h in (0, 1)]})
 
     schema = "half int, task int, sums binary"
     parts = train.select("f", "y", "half").mapInArrow(run, schema).groupBy("half", "task").applyInArrow(add, schema)
@@ -179,14 +180,22 @@ def _sums(train: DataFrame, model: Model) -> dict[int, tuple[np.ndarray, np.ndar
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit to means y with weights n at ascending x (pool adjacent violators)."""
+    """Knots of the non-decreasing fit to means y with weights n at ascending x (pool adjacent violators). Half a row of
+    either label is added to each block; since that can make neighbours fall, they are pooled once more."""
+    blocks = _pooled(zip(x * n, y * n, n))
+    blocks = _pooled((a * (c + 1) / c, b + 0.5, c + 1) for a, b, c in blocks)
+    return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
+
+
+def _pooled(rows) -> list[list[float]]:
+    """Sums of x, sums of y and weights of blocks with rising means."""
     blocks: list[list[float]] = []
-    for a, b, c in zip(x, y, n):
-        blocks.append([a * c, b * c, c])
+    for row in rows:
+        blocks.append(list(row))
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last)]
-    return np.array([b[0] / b[2] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+    return blocks
 
 
 def fit(feature_table: DataFrame, labels: DataFrame, seed: int = 5) -> Model:
