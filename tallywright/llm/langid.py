@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U64, buffers, mix, slices
@@ -28,6 +29,7 @@ from .quality import fold
 from .scratch import small_batches, written
 
 GRAM, SHARE, PART, BITS, HASHES = 4, 2e-6, 0.5, 22, 3
+WORD = 63  # languages in one array of masks
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -88,52 +90,62 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """Bit-sliced Bloom filters: ``masks[slot]`` has bit l when language l has an n-gram there."""
+    """Bit-sliced Bloom filters: bit l of ``masks[w][slot]`` is set when language WORD * w + l has an n-gram there."""
 
-    def __init__(self, langs: list[str], masks: np.ndarray):
+    def __init__(self, langs: list[str], masks: list[np.ndarray]):
         self.langs, self.masks = langs, masks
-        full = np.array([((masks >> masks.dtype.type(i)) & masks.dtype.type(1)).mean() for i in range(len(langs))])
+        full = np.array([self._bit(masks[i // WORD], i % WORD).mean() for i in range(len(langs))])
         self.false = full**HASHES
 
+    @staticmethod
+    def _bit(mask: np.ndarray, i: int) -> np.ndarray:
+        return (mask >> mask.dtype.type(i)) & mask.dtype.type(1)
+
     def shares(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """For each text and language, the corrected share of the text's n-grams that the language contains."""
         at = slots(codes)
-        mask = self.masks[at[0]]
-        for k in range(1, HASHES):
-            mask &= self.masks[at[k]]
         n = np.maximum(np.diff(bounds), 1)
         out = np.zeros((len(n), len(self.langs)))
-        for i in range(len(self.langs)):
-            total = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(i)) & mask.dtype.type(1), dtype=np.int64)])
-            hits = (total[bounds[1:]] - total[bounds[:-1]]) / n
-            out[:, i] = np.clip((hits - self.false[i]) / (1 - min(self.false[i], 0.999)), 0, 1)
+        for w, masks in enumerate(self.masks):
+            mask = masks[at[0]]
+            for k in range(1, HASHES):
+                mask &= masks[at[k]]
+            for i in range(WORD * w, min(WORD * (w + 1), len(self.langs))):
+                total = np.concatenate([[0], np.cumsum(self._bit(mask, i % WORD), dtype=np.int64)])
+                hits = (total[bounds[1:]] - total[bounds[:-1]]) / n
+                out[:, i] = np.clip((hits - self.false[i]) / (1 - min(self.false[i], 0.999)), 0, 1)
         return out
 
 
 def learn(rows: DataFrame) -> Filters:
-    """``rows``: text, lang. A mask has 63 bits, so at most 63 languages, the largest by n-grams."""
+    """``rows``: text, lang. Every language is learned, WORD of them in one array of masks."""
     counts = written(gram_counts(rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(63).collect()
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("all")).collect()  # one row for each language
     langs = sorted(r["lang"] for r in totals)
     if not langs:
-        return Filters([], np.zeros(1 << BITS, np.uint8))
-    bit = F.create_map(*(F.lit(x) for i, lang in enumerate(langs) for x in (lang, 1 << i))).cast("map<string,bigint>")
+        return Filters([], [])
+    place = F.create_map(*(F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)))
     every = F.create_map(*(F.lit(x) for r in totals for x in (r["lang"], r["all"])))
-    share = counts.filter(F.col("lang").isin(langs)).withColumn("share", F.col("n") / every[F.col("lang")])
+    share = counts.withColumn("share", F.col("n") / every[F.col("lang")])
     usual = share.groupBy("code").agg((F.sum("share") / len(langs)).alias("usual"))
     own = share.filter(F.col("share") >= SHARE).join(usual, "code").filter(F.col("share") >= PART * F.col("usual"))
-    own = own.select("code", bit[F.col("lang")].alias("mask"))
+    own = own.select("code", place[F.col("lang")].alias("place")).select("code", (F.col("place") / WORD).cast("int").alias("word"), F.expr(f"shiftleft(1L, place % {WORD})").alias("mask"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = slots(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(at.ravel()), "mask": pa.array(np.tile(batch.column(1).to_numpy(), HASHES))})
-
-    set_slots = own.mapInArrow(run, "slot long, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask"))
-    kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(langs) <= n)
-    masks = np.zeros(1 << BITS, kind)
-    got = set_slots.toArrow()  # at most 2**BITS slots
-    masks[got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.uint64).astype(kind)
+            columns = {"slot": at.ravel(), **{c: np.tile(batch.column(i).to_numpy(), HASHES) for i, c in ((1, "word"), (2, "mask"))}}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    set_slots = own.mapInArrow(run, "slot long, word int, mask long").groupBy("word", "slot").agg(F.expr("bit_or(mask)").alias("mask"))
+    masks = []
+    got = set_slots.toArrow()  # at most 2**BITS slots for WORD languages
+    for w in range(-(-len(langs) // WORD)):
+        here = got.filter(pc.equal(got["word"], w))
+        size = min(WORD, len(langs) - WORD * w)
+        kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if size <= n)
+        masks.append(np.zeros(1 << BITS, kind))
+        masks[w][here["slot"].to_numpy()] = here["mask"].to_numpy().astype(np.uint64).astype(kind)
     return Filters(langs, masks)
 
 
@@ -143,7 +155,7 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score of each row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**BITS masks: 4 to 32 MB
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 2**BITS masks: 4 to 32 MB for WORD languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
