@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .scratch import small_batches
 
 KINDS = ("assign", "access", "hex", "random")
-_ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the greedy runs of 24 or more are the matches of [0-9a-f]+ that pass
 LEAST, RATIO = 20, 2.2
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
-_MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z])(?=.*[A-Z].*[A-Z])(?=.*[a-z].*[A-Z].*[a-z])", re.S)
+_DIGIT, _LETTER, _LOWER, _UPPER = (re.compile(x) for x in ("[0-9]", "[A-Za-z]", "[a-z]", "[A-Z]"))
 _KNOWN = re.compile(
     r"(?:[0-9A-Fa-f]+|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # digests, UUIDs
     r"|[0-9+/_=-]+)"  # numbers
@@ -59,6 +59,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, KINDS[k]) for a, b, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
+def mixed(run: str) -> bool:
+    """A letter and a digit, or two capitals and a lower-case letter before and after a capital. Each search goes on where
+    the last one ended, so the time grows with the length."""
+    if _DIGIT.search(run) and _LETTER.search(run):
+        return True
+    upper = _UPPER.search(run)
+    if not upper or not _UPPER.search(run, upper.end()):
+        return False
+    lower = _LOWER.search(run)
+    upper = lower and _UPPER.search(run, lower.end())
+    return bool(upper and _LOWER.search(run, upper.end()))
+
+
 def named(run: str, encode) -> bool:
     """A path or a name: every part between signs is a short word or number, or passes the token test itself. The signs
     are letters of base64 as well, so they alone say nothing."""
@@ -66,11 +79,14 @@ def named(run: str, encode) -> bool:
 
 
 def random_spans(text: str, found: list[tuple[int, int, str]], encode) -> list[tuple[int, int, str]]:
-    out = []
+    out, at, reach = [], 0, -1  # reach: the farthest end of the found spans that start before the run's end
     for m in _RUN.finditer(text):
         a, b = m.span()
         run = m[0]
-        if any(x < b and a < y for x, y, _ in found) or not _MIXED.match(run) or _KNOWN.fullmatch(run):
+        while at < len(found) and found[at][0] < b:
+            reach = max(reach, found[at][1])
+            at += 1
+        if reach > a or not mixed(run) or _KNOWN.fullmatch(run):
             continue
         if len(run) < RATIO * len(encode(run)) and not named(run, encode):
             out.append((a, b, KINDS[3]))
@@ -93,8 +109,15 @@ SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The columns of ``docs`` and base_spans, all_spans: arrays of (start, end, kind)."""
-    names = docs.columns
+    """The columns of ``docs`` and base_spans, all_spans: arrays of (start, end, kind). Columns of ``docs`` that have such
+    a name already are kept, with ``_`` behind it."""
+    clear, own = docs, ("base_spans", "all_spans")
+    for name in [c for c in docs.columns if c in own]:
+        other = name + "_"
+        while other in clear.columns:
+            other += "_"
+        clear = clear.withColumnRenamed(name, other)
+    names = clear.columns
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +133,6 @@ def scan(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind), pa.array(every, kind)], names=[*names, "base_spans", "all_spans"])
 
     array = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
-    clear = docs.drop("base_spans", "all_spans")
-    names = clear.columns
     return small_batches(clear).mapInArrow(run, T.StructType([*clear.schema.fields, T.StructField("base_spans", array), T.StructField("all_spans", array)]))
 
 
