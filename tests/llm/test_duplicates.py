@@ -197,3 +197,28 @@ def test_passages_of_clashing_ids_and_long_texts(spark):
     assert all(ids.count(5 + i) == 1 for i in range(30))  # one row for a text of repeats, not one for each offset
     assert any(r["doc_id"] == 4 and r["start_word"] == 100 and r["end_word"] >= 20_000 for r in got)
     assert any(r["doc_id"] == 3 and r["start_word"] == 9_000 for r in got)
+
+
+def test_fingerprint_against_plain_votes():
+    """Each shingle of three words votes with 1 + log(times) on each bit by its hash."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallywright.llm.arrays import U64, mix, shingles, word_hashes
+
+    rng = random.Random(44)
+    texts = [" ".join(prose(rng, 30) + ["a", "b", "c"] * 7 + prose(rng, rng.randint(0, 50))) for _ in range(5)] + ["one", "", None, "A b a B a b"]
+    got = simhash.fingerprints(pa.array(texts))
+    for t, row in zip(texts, got):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        hashes, rows, _, _ = word_hashes(raw, np.array([0, len(raw)]))
+        values = shingles(hashes, rows, 1, simhash.WIDTH)[0].tolist() if len(hashes) else []
+        votes = [0.0] * simhash.BITS
+        for v in set(values):
+            weight = 1 + np.log(values.count(v))
+            for word in range(simhash.BITS // 64):
+                h = int(mix(np.array([v], np.uint64) + U64(word * 0x632BE59BD9B4E019))[0])
+                for bit in range(64):
+                    votes[word * 64 + bit] += weight if h >> (63 - bit) & 1 else -weight
+        assert [int(x > 1e-9) for x in votes] == np.unpackbits(row).tolist()
+    assert [simhash.blocks_for(n, 3) for n in (1, 2**16, 2**32, 2**33, 2**40)] == [4, 4, 4, 5, 5]

@@ -169,3 +169,105 @@ def test_warc_payloads_that_end_in_line_breaks(spark):
     for parts in (1, len(texts)):
         back = warc.read(spark, warc.deduplicate(pages.repartition(parts, "page_id"), new_path(spark, "w"))).collect()
         assert {r["page_id"]: r["payload"] for r in back} == dict(enumerate(texts)) and len(back) == len(texts)
+
+
+def test_calibration_never_falls():
+    x, y = quality.isotonic(np.array([0.1, 0.5, 0.9]), np.array([0.2, 0.9, 1.0]), np.array([500.0, 1000.0, 1.0]))
+    assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all()
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        k = int(rng.integers(1, 60))
+        x, y = quality.isotonic(np.arange(k) + 0.5, rng.integers(0, 4, k) / 3, rng.integers(1, 900, k).astype(float))
+        assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all() and ((0 < y) & (y < 1)).all()
+
+
+def test_normal_equations_against_plain_sums(spark):
+    rng = np.random.default_rng(6)
+    f, y = rng.standard_normal((400, len(quality.FEATURES))), rng.integers(0, 2, 400)
+    train = spark.createDataFrame([(row.tolist(), float(t), i % 2) for i, (row, t) in enumerate(zip(f, y))], "f array<double>, y double, half int").repartition(9)
+    model = quality.Model(f.mean(0), f.std(0))
+    sums = quality._sums(train, model)
+    for half in (0, 1):
+        z, t = model.map(f[half::2]), y[half::2]
+        assert np.allclose(sums[half][0], z.T @ z) and np.allclose(sums[half][1], z.T @ t) and sums[half][2] == 200
+    # the cosines' inner products are near the Gaussian kernel
+    z = model.map(f)[:, :-1]
+    scaled = (f - f.mean(0)) / f.std(0)
+    kernel = np.exp(-((scaled[:50, None] - scaled[None, :50]) ** 2).sum(2) / (2 * quality.WIDTH**2))
+    assert np.abs(z[:50] @ z[:50].T - kernel).mean() < 0.08
+
+
+def test_more_languages_than_a_mask_has_bits(spark):
+    rng = random.Random(70)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for i in range(70)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    f = langid.learn(spark.createDataFrame([(text(lang, 60), lang) for lang in words], "text string, lang string"))
+    assert f.langs == sorted(words) and len(f.masks) == 2
+    docs = spark.createDataFrame([(i, text(lang, 9)) for i, lang in enumerate(sorted(words))], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, f).collect()}
+    assert sum(got[i] == lang for i, lang in enumerate(sorted(words))) >= 68
+
+
+def test_shares_against_plain_sets(spark):
+    rng = random.Random(71)
+    langs = {lang: [" ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(40)) for _ in range(5)] for lang, a in (("x", "abcdefgh"), ("y", "fghijklm"))}
+    f = langid.learn(spark.createDataFrame([(t, lang) for lang, ts in langs.items() for t in ts], "text string, lang string"))
+    grams = lambda t: [g for i in range(len(t) - 1 + 0) for g in [(" " + t + "   ")[i : i + 4]] if g[1] != " "] + ([(" " + t + "   ")[len(t) - 1 :][:4]] if t else [])
+    count = {lang: {} for lang in langs}
+    for lang, ts in langs.items():
+        for t in ts:
+            for g in grams(t):
+                count[lang][g] = count[lang].get(g, 0) + 1
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in count.items()}
+    own = {lang: {g for g, s in share[lang].items() if s >= langid.SHARE and s >= langid.PART * sum(share[o].get(g, 0) for o in langs) / 2} for lang in langs}
+    for t in ("abc fgh ijk", "fghfgh lmlm", langs["x"][0]):
+        data = np.frombuffer(t.encode(), np.uint8)
+        codes, bounds = langid.grams(data, np.array([0, len(data)]))
+        assert len(codes) == len(grams(t))
+        for i, lang in enumerate(f.langs):
+            plain = sum(g in own[lang] for g in grams(t)) / len(grams(t))
+            assert abs(f.shares(codes, bounds)[0, i] - plain) < 0.02
+
+
+def test_runs_of_any_length_in_linear_time(spark):
+    import time
+
+    encode = secrets.encoding(None).encode_ordinary
+    start = time.perf_counter()
+    for run in ("a" + "B" * 1_000_000, "aB" * 500_000, "A" * 1_000_000 + "b"):
+        secrets.mixed(run)
+    assert time.perf_counter() - start < 1
+    found = [(i * 10, i * 10 + 5, "hex") for i in range(50_000)]
+    secrets.random_spans(" ".join(["word"] * 100_000), found, encode)
+    assert time.perf_counter() - start < 5
+    assert secrets.base_spans("ſecret=abcdefgh toKen=abcdefgh") == [] and len(secrets.base_spans("SeCrEt=abcdefgh")) == 1
+    for run, n in (("aBcDe", True), ("abcdE", False), ("ABCde", False), ("aBCd", True), ("abc1", True), ("ABC", False), ("123", False), ("AbCd", True)):
+        assert secrets.mixed(run) == n, run
+    rows = [(1, "password = hunter22 " + "x" * 300_000)] * 2 + [(2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"all_spans": F.lit("mine"), "base_spans": F.lit(7), "all_spans_": F.lit("too")})
+    got = secrets.scan(docs).collect()
+    assert len(got) == 3 and all(r["all_spans__"] == "mine" and r["base_spans_"] == 7 and r["all_spans_"] == "too" for r in got)
+    assert sorted(len(r["base_spans"]) for r in got) == [0, 1, 1]
+
+
+def test_scores_beyond_64_bits_are_the_largest(spark):
+    rows = [(0, [1.0, 1e300]), (1, [1.0, 2.0]), (2, [-1.0, 3e17]), (3, [0.0, -3e17]), (50, [2.0, 1e10])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.search(v.filter("vec_id % 50 = 0"), v).collect()}
+    whole = {r["vec_id"]: r["v"] for r in v.collect()}
+    assert set(got) == {(q, i) for q in (0, 50) for i in whole if i != q}
+    for (q, i), s in got.items():
+        assert s == max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i]))))
+
+
+def test_warc_record_ids_are_unique(spark):
+    text = "same payload " * 20
+    pages = spark.createDataFrame([(7, "u", text), (7, "u", text), (7, "v", "short"), (7, "v", "short"), (9, "w", text)], "page_id long, url string, html string").repartition(2)
+    path = warc.deduplicate(pages, new_path(spark, "w"))
+    back = warc.read(spark, path).collect()
+    assert len({r["record_id"] for r in back}) == 5 and sorted(r["record_type"] for r in back) == ["response"] * 3 + ["revisit"] * 2
+    ids = {r["record_id"] for r in back if r["record_type"] == "response"}
+    assert all(r["refers_id"] in ids and r["refers_to"] == 7 for r in back if r["record_type"] == "revisit")
+    full = warc.originals(warc.read(spark, path)).collect()
+    assert sorted(r["payload_bytes"] for r in full) == [5, 5] + [len(text)] * 3

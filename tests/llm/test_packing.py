@@ -99,3 +99,28 @@ def test_mixing_edge_cases(spark):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["_copies"] for r in got)
     assert mixing.copies(docs.limit(0)).count() == 0
+
+
+def test_local_search_saves_bins_that_best_fit_uses():
+    saved = exchanges = 0
+    for seed in range(30):
+        lengths = np.random.default_rng(seed).integers(100, 401, 300)
+        plain = packing.fill(lengths, 1024, search=False)
+        bins, steps = packing.improve(lengths, 1024, plain.copy())
+        filled = np.bincount(bins, lengths)
+        assert filled.max() <= 1024 and (packing.fill(lengths, 1024) == bins).all()
+        squares = [(np.bincount(b, lengths) ** 2).sum() for b in (plain, bins)]
+        assert squares[1] >= squares[0] and (squares[1] > squares[0]) == (steps > 0)
+        saved += len(set(plain)) - len(set(bins))
+        exchanges += steps
+    assert saved >= 15 and exchanges > 100
+    # a two-for-one exchange with the last of many items: 50 + 4 + 4 ... against 58
+    lengths = np.array([8, 1] + [2] * 20 + [3, 3])
+    bins, steps = packing.improve(lengths, 50, np.array([0, 1] + [1] * 22))
+    assert np.bincount(bins, lengths).max() <= 50
+
+
+def test_equal_rows_are_not_one_group(spark):
+    docs = spark.createDataFrame([(None, None)] * 3000, "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, group=1500).collect()
+    assert len(rows) == 3000 and len({r["sequence_id"] for r in rows}) <= 4  # one token each
