@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import NO_ID, PHYSICAL, PROVENANCES, RESOURCE_KINDS, EVENT_KINDS, UNITS
 
@@ -80,6 +80,20 @@ def quantity_text() -> Column:
     return F.format_string("%.6f %s [%s]", c("value"), c("unit"), c("provenance"))
 
 
-def with_windowed_tokens(accounts: DataFrame) -> DataFrame:
-    """Each account's rank by tokens within its tenant."""
-    return accounts.withColumn("rank", F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("generated_tokens"), "request")))
+#: The base units of each unit: seconds, bytes, joules, money, plain numbers, and the factor to them.
+_SIGNATURE = {
+    "count": ("1", 1.0), "dimensionless": ("1", 1.0), "bytes": ("byte", 1.0), "byte-seconds": ("byte.second", 1.0), "seconds": ("second", 1.0), "nanoseconds": ("second", 1e-9),
+    "joules": ("joule", 1.0), "wh": ("joule", 3600.0), "currency": ("money", 1.0),
+}
+
+
+def unit_signature(unit: Column) -> Column:
+    """base and factor of a unit; null for an unknown one."""
+    out = F.lit(None)
+    for name, (base, factor) in _SIGNATURE.items():
+        out = F.when(unit == name, F.struct(F.lit(base).alias("base"), F.lit(factor).alias("factor"))).otherwise(out)
+    return out
+
+
+def same_unit(a: Column, b: Column) -> Column:
+    return unit_signature(a)["base"] == unit_signature(b)["base"]

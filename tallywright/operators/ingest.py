@@ -16,6 +16,8 @@ from .filters import content, content_valid
 c = F.col
 #: Entries are met with the control rows in force by ranges of so many seq numbers.
 RANGE = 1 << 20
+#: Within blocks of so many seq numbers the last start is found entry by entry.
+BLOCK = 1 << 16
 _NOT_CONTENT = ("seq", "verdict", "status", "_ok")
 
 
@@ -38,10 +40,17 @@ def with_authority(entries: DataFrame, control: DataFrame) -> DataFrame:
     ends = F.coalesce(F.lead("seq").over(W.partitionBy("worker").orderBy("seq")), F.lit(2**62))
     boots = boots.select(c("worker").alias("_w"), c("seq").alias("_from"), ends.alias("_to"), c("boot").alias("cur_boot"))
     x = x.join(boots, (c("src_worker") == c("_w")) & (c("seq") > c("_from")) & (c("seq") <= c("_to")), "left").drop("_w", "_from", "_to")
-    upto = W.partitionBy("request").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    # the last start up to an entry: within its block of seq by a window, from earlier blocks by a window over one row a
+    # block, so that a request with a third of all entries is spread over its blocks
+    block = F.floor(c("seq") / BLOCK)
     start = F.when(c("event_kind") == "REQUEST_START", F.struct(c("request_gen").alias("g"), c("auth_attempt").alias("a"), c("attempt_gen").alias("n")))
-    x = x.withColumn("_s", F.last(start, ignorenulls=True).over(upto))
-    return x.withColumns({"cur_request_gen": c("_s.g"), "cur_attempt": c("_s.a"), "cur_attempt_gen": c("_s.n")}).drop("_s")
+    x = x.withColumns({"_b": block, "_s": start})
+    blocks = x.groupBy("request", "_b").agg(F.max(F.when(c("_s").isNotNull(), F.struct("seq", "_s"))).alias("_l"))
+    before = W.partitionBy("request").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("request", "_b", F.last("_l", ignorenulls=True).over(before)["_s"].alias("_earlier"))
+    upto = W.partitionBy("request", "_b").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("_s", F.last("_s", ignorenulls=True).over(upto)).join(blocks, ["request", "_b"]).withColumn("_s", F.coalesce("_s", "_earlier"))
+    return x.withColumns({"cur_request_gen": c("_s.g"), "cur_attempt": c("_s.a"), "cur_attempt_gen": c("_s.n")}).drop("_s", "_b", "_earlier")
 
 
 def verdict(rolled: Column | None = None) -> Column:
@@ -94,12 +103,39 @@ def append(entries: DataFrame, known: DataFrame | None = None, keep: tuple[str,
     ledger so far. The first valid entry of an id is found by an aggregate, so an id may be repeated any number of times."""
     columns = [k for k in entries.columns if k not in (*_NOT_CONTENT, *keep) and not k.startswith("cur_") and k != "rolled"]
     fresh = c("verdict") == "accept" if "verdict" in entries.columns else F.lit(True)
-    digest = F.xxhash64(content(columns)) if "metadata" not in columns else F.xxhash64(F.to_json(content(columns)))
+    # a hash passes over nulls, so their places are hashed as well
+    digest = F.xxhash64(F.concat(*(F.when(c(k).isNull(), "0").otherwise("1") for k in columns)), content(columns))
     x = entries.withColumns({"_ok": F.coalesce(content_valid() & fresh, F.lit(False)), "_hash": digest})
     first = x.filter("_ok").groupBy("id").agg(F.min(F.struct("seq", "_hash")).alias("_first"))
     if known is not None:
-        old = known.select("id", F.struct(F.lit(-1).cast("long").alias("seq"), F.xxhash64(F.to_json(content(columns))).alias("_hash")).alias("_first"))
+        old = known.select("id", F.struct(F.lit(-1).cast("long").alias("seq"), digest.alias("_hash")).alias("_first"))
         first = first.unionByName(old).groupBy("id").agg(F.min("_first").alias("_first"))
     x = x.join(first, "id", "left")
     status = F.when(~F.coalesce(content_valid(), F.lit(False)), "invalid").when(~c("_ok"), "stale").when(c("seq") == c("_first.seq"), "accepted")
     return x.withColumn("status", status.when(c("_hash") == c("_first._hash"), "duplicate").otherwise("duplicate_conflict")).drop("_ok", "_hash", "_first")
+
+
+def replay(entries: DataFrame) -> DataFrame:
+    """The entries of a ledger in order, each appended anew; a ledger in which one is rejected is refused."""
+    told = append(entries)
+    bad = told.filter("status <> 'accepted'").groupBy("status").count().collect()  # at most four rows
+    if bad:
+        raise ValueError("refused: " + ", ".join(f"{r['count']} {r['status']}" for r in sorted(bad)))
+    return told.drop("status")
+
+
+def authority_snapshot(control: DataFrame) -> DataFrame:
+    """One row: epoch and accounting_gen after all decisions, and the number of connected workers."""
+    rolls = F.count(F.when(c("kind").isin("ROLL", "WORKER_LOST"), 1)) + 1
+    return control.agg(rolls.alias("epoch"), rolls.alias("accounting_gen"), F.count_distinct(F.when(c("kind") == "REGISTER", c("worker"))).alias("workers"))
+
+
+def connected_workers(control: DataFrame) -> DataFrame:
+    """worker, boot: what each worker has registered with last."""
+    return control.filter("kind = 'REGISTER'").groupBy("worker").agg(F.max(F.struct("seq", "boot"))["boot"].alias("boot"))
+
+
+def request_authority(entries: DataFrame) -> DataFrame:
+    """request, request_gen, attempt, attempt_gen: what each request's last start has set; requests without one are left out."""
+    last = F.max(F.when(c("event_kind") == "REQUEST_START", F.struct("seq", "request_gen", c("auth_attempt").alias("attempt"), "attempt_gen"))).alias("s")
+    return entries.groupBy("request").agg(last).filter("s IS NOT NULL").select("request", "s.request_gen", "s.attempt", "s.attempt_gen")

@@ -67,6 +67,10 @@ _account_query("waste_report", "failed_work_s cancelled_work_s spec_wasted_s was
 _account_query("reuse_report", "kv_reuse tensor_reuse reuse_avoided_s reused_s reuse_credit reuse_rate")
 
 
+QUERIES["waste_report"] = lambda spark, sf: rounded(R.waste(accounts(spark, sf)))
+QUERIES["reuse_report"] = lambda spark, sf: rounded(R.reuse(accounts(spark, sf)))
+
+
 @query("explain_report", with_ledger("""SELECT request, round(gpu_s, 6) AS gpu_s, round(kv_allocated, 6) AS kv_allocated, round(h2d_bytes + d2h_bytes, 6) AS transfer_bytes, round(wall_latency_s, 6) AS wall_latency_s,
   round(prefill_s, 6) AS prefill_s, round(decode_s, 6) AS decode_s, generated_tokens, spec_accepted, spec_rejected, round(failed_work_s, 6) AS failed_work_s, round(cancelled_work_s, 6) AS cancelled_work_s,
   round(kv_reuse, 6) AS kv_reuse, round(reuse_credit, 6) AS reuse_credit, round(reuse_avoided_s, 6) AS reuse_avoided_s, entries, attempt_count FROM acct""", accounts_sql()))
@@ -74,10 +78,12 @@ def explain_report(spark, sf_dir):
     return rounded(R.explain(accounts(spark, sf_dir)))
 
 
-_UNPIVOT = " UNION ALL ".join(f"SELECT request, '{m}' AS measure, CAST({m} AS DOUBLE) AS v FROM acct" for m in R.COMPARED)
+_MEASURES = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in R.COMPARED)
+_COMPARED = " UNION ALL ".join(f"SELECT a AS request_a, b AS request_b, '{m}' AS measure, round(a_{m}, 6) AS a, round(b_{m}, 6) AS b FROM p" for m in R.COMPARED)
 
 
-@query("compare_requests", with_ledger("SELECT a.request AS request_a, b.request AS request_b, a.measure, round(a.v, 6) AS a, round(b.v, 6) AS b FROM u a JOIN u b ON a.measure = b.measure AND CAST('0x' || a.request AS BIGINT) + 1 = CAST('0x' || b.request AS BIGINT)", accounts_sql(), f"u AS ({_UNPIVOT})"))
+@query("compare_requests", with_ledger(_COMPARED, accounts_sql(), f"m AS MATERIALIZED (SELECT CAST('0x' || request AS BIGINT) AS k, CAST('0x' || request AS BIGINT) + 1 AS next, request, {_MEASURES} FROM acct)",
+    f"p AS MATERIALIZED (SELECT x.request AS a, y.request AS b, {', '.join(f'x.{m} AS a_{m}, y.{m} AS b_{m}' for m in R.COMPARED)} FROM m x JOIN m y ON x.next = y.k)"))
 def compare_requests(spark, sf_dir):
     x = written(accounts(spark, sf_dir), "accounts")
     return rounded(R.compare(x, R.neighbours(x)))
@@ -307,6 +313,40 @@ def coordinator_with_losses(spark, sf_dir):
     return now.groupBy("verdict", "status").agg(F.count("*").alias("n"))
 
 
+@query("authority_snapshot", with_ledger("SELECT 1 + count(*) FILTER (WHERE late = 2 AND seq = t) AS epoch, 1 + count(*) FILTER (WHERE late = 2 AND seq = t) AS accounting_gen, CAST(4 AS BIGINT) AS workers FROM ledger, (SELECT min(seq) AS t FROM ledger WHERE late = 2)"))
+def authority_snapshot(spark, sf_dir):
+    return I.authority_snapshot(control_log(read_events(spark, sf_dir)))
+
+
+@query("connected_workers", with_ledger("SELECT DISTINCT worker, CASE WHEN (SELECT max(late) FROM ledger) = 2 AND worker <> lpad('3', 32, '0') THEN lpad('2', 32, '0') ELSE lpad('1', 32, '0') END AS boot FROM ledger WHERE worker <> lpad('4', 32, '0')"))
+def connected_workers(spark, sf_dir):
+    return I.connected_workers(control_log(read_events(spark, sf_dir)))
+
+
+@query("request_authority", with_ledger("SELECT request, CAST(1 AS BIGINT) AS request_gen, max_by(attempt, seq) AS attempt, CAST(1 AS BIGINT) AS attempt_gen FROM ledger WHERE code = 1 GROUP BY request"))
+def request_authority(spark, sf_dir):
+    return I.request_authority(read_events(spark, sf_dir))
+
+
+@query("entry_checks", with_ledger("SELECT event_kind, true AS known, true AS available, epoch = late AS fresh, count(*) AS n FROM ledger GROUP BY ALL"))
+def entry_checks(spark, sf_dir):
+    x = read_events(spark, sf_dir).select("event_kind", Q.codes_valid().alias("known"), Q.is_available(c("provenance")).alias("available"), Q.is_fresh(c("epoch"), c("src_accounting_gen")).alias("fresh"))
+    return x.groupBy("event_kind", "known", "available", "fresh").agg(F.count("*").alias("n"))
+
+
+@query("unit_signatures", with_ledger("""SELECT unit, CASE unit WHEN 'count' THEN '1' WHEN 'bytes' THEN 'byte' WHEN 'seconds' THEN 'second' ELSE 'joule' END AS base, round(sum(value * CASE unit WHEN 'wh' THEN 3600.0 ELSE 1.0 END), 4) AS total, count(*) AS n
+  FROM ledger GROUP BY unit"""))
+def unit_signatures(spark, sf_dir):
+    """Values in base units by unit."""
+    x = read_events(spark, sf_dir).withColumn("s", Q.unit_signature(c("unit")))
+    return x.groupBy("unit", c("s.base").alias("base")).agg(F.round(F.sum(c("value") * c("s.factor")), 4).alias("total"), F.count("*").alias("n"))
+
+
+@query("account_identity", with_ledger("SELECT request, first_tenant AS tenant, first_model AS model, round(cost_per_token, 6) AS cost_per_token FROM acct", accounts_sql()))
+def account_identity(spark, sf_dir):
+    return rounded(accounts(spark, sf_dir).select("request", "tenant", "model", "cost_per_token"))
+
+
 @query("id_hex", "SELECT o_orderkey, lpad(lower(to_hex(o_orderkey)), 32, '0') AS id FROM orders")
 def id_hex(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", hex_id(c("o_orderkey")).alias("id"))
@@ -359,13 +399,23 @@ def roundtrip_parquet(spark, sf_dir):
 
 def _framed(spark, sf_dir) -> str:
     path = new_path(spark, "framed")
-    written(frames.write(read_events(spark, sf_dir).repartition(4, "seq"), path), "files").count()
+    written(frames.write(read_events(spark, sf_dir), path, files=4), "files").count()
     return path
 
 
 @query("roundtrip_binary", with_ledger(_TOTALS))
 def roundtrip_binary(spark, sf_dir):
-    return _totals(frames.read(spark, _framed(spark, sf_dir)))
+    return _totals(frames.load(spark, _framed(spark, sf_dir)))
+
+
+_KEPT = "kv_peak tensor_peak wall_latency_s kv_allocated gpu_s"
+
+
+@query("roundtrip_accounts", with_ledger(f"SELECT request, {', '.join(f'round({k}, 6) AS {k}' for k in _KEPT.split())}, outcome, generated_tokens, entries FROM acct", accounts_sql()))
+def roundtrip_accounts(spark, sf_dir):
+    """Accounts that depend on the order of entries, from a ledger written to several files and read again."""
+    back = frames.load(spark, _framed(spark, sf_dir))
+    return rounded(with_ratios(reconcile(back)).select("request", *_KEPT.split(), "outcome", "generated_tokens", "entries"))
 
 
 @query("recover_report", "SELECT true AS ok, '' AS reason, count(*) AS frames FROM events")
@@ -373,9 +423,10 @@ def recover_report(spark, sf_dir):
     return frames.recover(spark, _framed(spark, sf_dir)).groupBy("ok", "reason").agg(F.sum("frames").alias("frames"))
 
 
-@query("replay_totals", with_ledger("SELECT 'accepted' AS status, count(*) AS n FROM ledger"))
+@query("replay_totals", with_ledger("SELECT 'accepted' AS status, event_kind, count(*) AS n, round(sum(value), 4) AS total FROM ledger GROUP BY event_kind"))
 def replay_totals(spark, sf_dir):
-    return I.append(frames.read(spark, _framed(spark, sf_dir))).groupBy("status").agg(F.count("*").alias("n"))
+    back = I.replay(frames.load(spark, _framed(spark, sf_dir)))
+    return back.groupBy(F.lit("accepted").alias("status"), "event_kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("ledger_digest")
@@ -383,7 +434,8 @@ def ledger_digest(spark, sf_dir):
     return frames.digest(read_events(spark, sf_dir))
 
 
-@query("derived_ids")
+@query("derived_ids", with_ledger("""SELECT seq, md5(concat_ws('|', lpad('1', 32, '0'), tenant, lpad('88', 32, '0'), request, model, lpad('2', 32, '0'), event_kind, resource_kind, worker, boot, late, epoch, accounting_gen, 1, 1,
+  attempt, start_ts_ns, printf('%.6f', value))) AS derived FROM ledger"""))
 def derived_ids(spark, sf_dir):
     return read_events(spark, sf_dir).select("seq", frames.derived_id().alias("derived"))
 

@@ -6,6 +6,7 @@ front. All numbers are big-endian.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..scratch import written
 from ..schema import EVENT_KINDS, LEDGER_SCHEMA, NO_ID, PHYSICAL, PROVENANCES, RESOURCE_KINDS, UNITS
 
 # The format's marks, version, limit and order of fields.
@@ -26,6 +28,7 @@ LAYOUT = (
     ("src_worker", "id"), ("src_boot", "id"), ("src_accounting_gen", "u64"), ("epoch", "u64"), ("auth_worker_boot", "id"), ("request_gen", "u64"),
     ("accounting_gen", "u64"), ("auth_attempt", "id"), ("attempt_gen", "u64"), ("auth_dispatch", "id"), ("accounting_policy", "id?"), ("pricing_policy", "id?"),
 )
+PER_FILE = 500_000  # entries of some 400 bytes, far below the 2 GB that a row may hold
 HEADER = ">QI16s"
 HEADER_SIZE = struct.calcsize(HEADER)
 _FIRST_CODE = {EVENT_KINDS: 1, RESOURCE_KINDS: 1, UNITS: 0, PROVENANCES: 0}
@@ -144,9 +147,10 @@ def frames_of(data: bytes, header: bool = True) -> Iterator[dict]:
         at += 8 + length
 
 
-def write(entries: DataFrame, path: str, ledger: str = "0" * 31 + "1") -> DataFrame:
-    """Framed files under ``path``, one a task, in order of seq within a file. Returns file, frames of each. A task that runs again
-    writes the same name, and a file appears only when it is complete."""
+def write(entries: DataFrame, path: str, ledger: str = "0" * 31 + "1", files: int | None = None, after: int = 0) -> DataFrame:
+    """Framed files under ``path`` that hold the entries in order of seq, file after file: ranges of seq, numbered from
+    ``after`` on, each of about PER_FILE entries unless ``files`` says how many. Returns file, frames of each. A task that
+    runs again writes the same name, and a file appears only when it is complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -155,7 +159,7 @@ def write(entries: DataFrame, path: str, ledger: str = "0" * 31 + "1") -> DataFr
         where, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         where.create_dir(folder)
         task = TaskContext.get()
-        name = f"{folder}/part-{task.partitionId():05d}.frames"
+        name = f"{folder}/part-{after + task.partitionId():05d}.frames"
         n = 0
         with where.open_output_stream(f"{name}.{task.attemptNumber()}.tmp") as out:
             out.write(struct.pack(HEADER, MAGIC, VERSION, bytes.fromhex(ledger)))
@@ -166,18 +170,26 @@ def write(entries: DataFrame, path: str, ledger: str = "0" * 31 + "1") -> DataFr
         where.move(f"{name}.{task.attemptNumber()}.tmp", name)
         yield pa.RecordBatch.from_pydict({"file": [name], "frames": [n]})
 
-    return entries.sortWithinPartitions("seq").mapInArrow(run, "file string, frames long")
+    files = files or 1 + entries.count() // PER_FILE
+    return entries.repartitionByRange(files, "seq").sortWithinPartitions("seq").mapInArrow(run, "file string, frames long")
+
+
+def _numbers(spark: SparkSession, path: str) -> dict[str, int]:
+    """The files of a ledger in order: by the number in their names, others last by name."""
+    names = [r["path"] for r in _files(spark, path).select("path").collect()]  # one row a file
+    number = {n: re.search(r"part-(\d+)\.frames$", n) for n in names}
+    return {n: i for i, n in enumerate(sorted(names, key=lambda n: (number[n] is None, int(number[n][1]) if number[n] else 0, n)))}
 
 
 def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """The entries of all files under ``path``; any reason to reject a file fails the read. seq numbers entries by file
-    and place."""
-    shape = to_arrow_schema(LEDGER_SCHEMA)
+    """The entries of all files under ``path``; any reason to reject a file fails the read. seq numbers entries in the
+    order of the ledger: by file, then by place. Ids are looked at within each file; ``load`` looks at all."""
+    shape, numbers = to_arrow_schema(LEDGER_SCHEMA), _numbers(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                base, rows = zlib.crc32(name.encode()) << 31, []
+                base, rows = numbers[name] << 32, []
                 for i, e in enumerate(frames_of(data, header)):
                     rows.append({**e, "seq": base + i})
                     if len(rows) == 10_000:
@@ -188,6 +200,26 @@ def read(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     return _files(spark, path).mapInArrow(run, LEDGER_SCHEMA)
 
 
+def _once(entries: DataFrame) -> DataFrame:
+    again = entries.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id").head()
+    if again is not None:
+        raise Rejected(f"duplicate id {again['id']}")
+    return entries
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A stored ledger as a table, decoded once; an id that two files have rejects it."""
+    return _once(written(read(spark, path), "ledger"))
+
+
+def add(entries: DataFrame, path: str, ledger: str = "0" * 31 + "1", files: int | None = None) -> DataFrame:
+    """Files of ``entries`` behind those of the ledger under ``path``. Ids that the ledger has, or that repeat, reject all."""
+    stored = read(entries.sparkSession, path)
+    _once(stored.select("id").unionByName(entries.select("id")))
+    numbers = [int(m[1]) for n in _numbers(entries.sparkSession, path) if (m := re.search(r"part-(\d+)\.frames$", n))]
+    return write(entries, path, ledger, files, after=max(numbers, default=-1) + 1)
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.frames").load(path).select("path", "content")
 
@@ -220,4 +252,5 @@ def digest(entries: DataFrame) -> DataFrame:
 def derived_id() -> Column:
     """An id from what an entry says: 128 bits of its identifying fields."""
     fields = ("ledger", "tenant", "workload", "request", "model", "model_revision", "event_kind", "resource_kind", "src_worker", "src_boot", "src_accounting_gen", "epoch", "accounting_gen", "request_gen", "attempt_gen", "auth_attempt", "start_ts_ns", "value")
-    return F.md5(F.concat_ws("|", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)))
+    text = lambda f: F.format_string("%.6f", f) if f == "value" else F.col(f).cast("string")
+    return F.md5(F.concat_ws("|", *(F.coalesce(text(f), F.lit("")) for f in fields)))

@@ -99,3 +99,48 @@ def test_reports(spark):
     pairs = spark.createDataFrame([(ident(1), ident(2))], "request_a string, request_b string")
     got = {r["measure"]: (r["a"], r["b"]) for r in compare(a, pairs).collect()}
     assert got["generated_tokens"] == (5.0, 0.0)
+
+
+def test_order_of_a_ledger_through_several_files(spark, tmp_path):
+    rows = [entry(i, "KV_ALLOCATE" if i % 3 else "KV_RELEASE", 1 + i % 7, "bytes", 1.0 + i) for i in range(200)]
+    path = str(tmp_path / "many")
+    assert frames.write(ledger(spark, rows).repartition(5, "id"), path, files=6).count() == 6
+    ids = lambda df: [r["id"] for r in df.orderBy("seq").collect()]
+    assert ids(frames.load(spark, path)) == [r["id"] for r in rows]
+    more = [entry(i, "DECODE", 1) for i in range(1000, 1030)]
+    assert frames.add(ledger(spark, more), path, files=2).count() == 2
+    assert ids(frames.load(spark, path)) == [r["id"] for r in rows + more] and len({r["seq"] for r in frames.load(spark, path).collect()}) == 230
+    with pytest.raises(frames.Rejected, match="duplicate"):
+        frames.add(ledger(spark, more[:1]), path)
+    frames.write(ledger(spark, more[:1]), path, after=50).count()
+    with pytest.raises(frames.Rejected, match="duplicate"):
+        frames.load(spark, path)
+
+
+def test_replay_refuses_rejected_entries(spark):
+    one = entry(0, "DECODE", 5)
+    assert ingest.replay(ledger(spark, [one, entry(1, "DECODE", 6)])).count() == 2
+    for bad in (one | {"seq": 1}, one | {"seq": 1, "value": 7.0}, entry(1, "KV_ALLOCATE", -1, "bytes")):
+        with pytest.raises(ValueError, match="refused: 1"):
+            ingest.replay(ledger(spark, [one, bad]))
+
+
+def test_known_entries_without_metadata(spark):
+    x = ledger(spark, [entry(i, "DECODE", 1 + i) for i in range(5)]).drop("metadata")
+    assert {r["status"] for r in ingest.append(x, x).collect()} == {"duplicate"}
+    changed = x.withColumns({"adapter": F.lit(None).cast("string"), "pricing_policy": F.lit("p")})
+    other = x.withColumns({"adapter": F.lit("p"), "pricing_policy": F.lit(None).cast("string")})
+    assert {r["status"] for r in ingest.append(changed, other).collect()} == {"duplicate_conflict"}
+
+
+def test_fence_over_blocks(spark, monkeypatch):
+    rows = [entry(i, "REQUEST_START" if i % 40 == 0 else "DECODE", 1, request=1 + i % 2, attempt=1 + i // 60 % 2) for i in range(400)]
+    whole = {r["seq"]: r["verdict"] for r in ingest.fence(ledger(spark, rows), control(spark)).collect()}
+    monkeypatch.setattr(ingest, "BLOCK", 7)
+    assert {r["seq"]: r["verdict"] for r in ingest.fence(ledger(spark, rows), control(spark)).collect()} == whole and len(set(whole.values())) == 2
+    now, want = {}, {}
+    for r in rows:
+        if r["event_kind"] == "REQUEST_START":
+            now[r["request"]] = r["auth_attempt"]
+        want[r["seq"]] = "accept" if now.get(r["request"], r["auth_attempt"]) == r["auth_attempt"] else "stale_generation"
+    assert whole == want
