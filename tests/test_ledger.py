@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,45 @@ def test_fence_over_blocks(spark, monkeypatch):
             now[r["request"]] = r["auth_attempt"]
         want[r["seq"]] = "accept" if now.get(r["request"], r["auth_attempt"]) == r["auth_attempt"] else "stale_generation"
     assert whole == want
+
+
+def test_stream_of_several_files_knows_earlier_batches(spark, small, tmp_path):
+    import shutil
+
+    from tallywright.scratch import new_path
+    from tallywright.sources.events import to_ledger
+    from tallywright.streaming import ingest as stream
+
+    events = spark.read.parquet(f"{small}/events.parquet")
+    parts = {"events": events.filter("event_id % 2 = 0"), "events_2": events.filter("event_id % 2 = 0"), "events_3": events.filter("event_id % 2 = 1")}
+    for i, (name, part) in enumerate(parts.items()):
+        part.coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        shutil.copy(next((tmp_path / f"w{i}").glob("*.parquet")), tmp_path / f"{name}.parquet")
+    ledger_, acks = stream.append_stream(to_ledger(stream.read_stream(spark, str(tmp_path))), new_path(spark, "ledger"), new_path(spark, "acks"), new_path(spark, "state"))
+    half, n = parts["events"].count(), events.count()
+    assert {r["status"]: r["count"] for r in acks.groupBy("status").count().collect()} == {"accepted": n, "duplicate": half}
+    assert ledger_.count() == n == ledger_.select("id").distinct().count()
+
+
+def test_losses_against_a_fold_of_the_whole_log(spark):
+    rng = random.Random(17)
+    losses = [40, 90]
+    rows = []
+    for i in (i for i in range(150) if i not in losses):
+        epoch = 1 + sum(i > x for x in losses) - (rng.random() < 0.1)
+        rows.append(entry(i, rng.choice(["REQUEST_START", "DECODE", "DECODE", "DECODE", "REQUEST_END"]), 1, request=rng.randint(1, 6), attempt=rng.randint(1, 2)) | dict(epoch=epoch, accounting_gen=epoch))
+    got = {r["seq"]: r["verdict"] for r in ingest.fence(ledger(spark, rows), control(spark, *((x, "WORKER_LOST", None, None) for x in losses))).collect()}
+    started, flying, rolled, want = {}, set(), set(), {}
+    for seq in range(150):
+        if seq in losses:
+            rolled |= flying
+            continue
+        r = next(r for r in rows if r["seq"] == seq)
+        q, now = r["request"], 1 + sum(seq > x for x in losses)
+        if r["event_kind"] == "REQUEST_START":
+            started[q] = r["auth_attempt"]
+            rolled.discard(q)
+        want[seq] = "stale_epoch" if r["epoch"] != now else "stale_generation" if q in rolled or started.get(q, r["auth_attempt"]) != r["auth_attempt"] else "accept"
+        if want[seq] == "accept":
+            flying = flying | {q} if r["event_kind"] == "REQUEST_START" else flying - {q} if r["event_kind"] == "REQUEST_END" else flying
+    assert got == want and len(set(want.values())) == 3
