@@ -34,6 +34,16 @@ _COUNTS = {
 _PEAKS = {"kv": ("KV_ALLOCATE", "KV_RELEASE"), "tensor": ("TENSOR_ALLOCATE", "TENSOR_RELEASE")}
 _SUMMED = ("entries", "reservations_acquired", "reservations_released", "model_byte_seconds", "adapter_byte_seconds", "energy_joules", *_TIMES, *_VALUES, *_COUNTS)
 _FIRST = ("tenant", "workload", "model", "model_revision")
+#: Measures of an account that are quantities, by unit.
+MEASURES = {
+    "seconds": (
+        "wall_latency_s", "queue_s", "execution_s", "prefill_s", "decode_s", "gpu_s", "cpu_s", "batch_wait_s", "transfer_s", "failed_work_s", "cancelled_work_s", "recomputed_s",
+        "reuse_avoided_s", "reused_s", "spec_wasted_s",
+    ),
+    "bytes": ("h2d_bytes", "d2h_bytes", "inter_node_bytes", "kv_allocated", "kv_peak", "kv_reuse", "tensor_allocated", "tensor_peak", "tensor_reuse", "allocation_peak"),
+    "byte-seconds": ("model_byte_seconds", "adapter_byte_seconds", "tensor_byte_seconds"),
+    "joules": ("energy_joules",),
+}
 
 
 def duration_ns() -> Column:
@@ -124,7 +134,7 @@ def reconcile(entries: DataFrame, key: Sequence[str] = ("request",), block: int
         *key, *(c(f"_first.{n}").alias(n) for n in own), c("_winner").alias("winner"), outcome.alias("outcome"), wall.alias("wall_latency_s"), "attempt_count", "entries", "generated_tokens",
         *(seconds(n) for n in (*_TIMES, *_ATTEMPT_TIMES, "failed_work_ns", "cancelled_work_ns", "unattributed_ns")), *_VALUES, *_COUNTS,
         "reservations_acquired", "reservations_released", "model_byte_seconds", "adapter_byte_seconds", "energy_joules", "kv_peak", "tensor_peak",
-        F.greatest("kv_peak", "tensor_peak").alias("allocation_peak"), F.lit(0.0).alias("reused_s"),
+        F.greatest("kv_peak", "tensor_peak").alias("allocation_peak"), F.lit(0.0).alias("reused_s"), F.lit(0.0).alias("tensor_byte_seconds"),
     )
 
 
@@ -137,7 +147,7 @@ def with_ratios(accounts: DataFrame) -> DataFrame:
     return accounts.withColumns({
         "waste_ratio": ratio(waste, c("execution_s") + waste), "reuse_credit": c("reuse_avoided_s") + c("reused_s"),
         "reuse_rate": ratio(c("reused_s"), c("execution_s") + c("reused_s")), "spec_efficiency": ratio(c("spec_accepted").cast("double"), c("spec_proposed")),
-        "cost_per_token": F.lit(0.0), "energy_provenance": F.when(c("energy_joules") != 0, "derived").otherwise("unavailable"),
+        "cost_per_token": F.lit(0.0), "energy_provenance": provenance("energy_joules"),
     })
 
 
@@ -146,3 +156,22 @@ def with_requested(accounts: DataFrame, requests: DataFrame) -> DataFrame:
     x = requests.select("request").join(accounts, "request", "left")
     numbers = [f.name for f in accounts.schema if f.dataType.typeName() in ("double", "long")]
     return x.withColumn("outcome", F.coalesce("outcome", F.lit("failed"))).fillna(0, numbers)
+
+
+def provenance(measure: str) -> Column:
+    """What a measure of an account comes from: tensor residency is never seen, energy not if it is 0, processor time not
+    without attempts; all else is derived, zeros as well."""
+    seen = {"tensor_byte_seconds": F.lit(False), "energy_joules": c("energy_joules") > 0, "cpu_s": c("attempt_count") > 0}.get(measure, F.lit(True))
+    return F.when(seen, "derived").otherwise("unavailable")
+
+
+def measures(accounts: DataFrame) -> DataFrame:
+    """request, measure, value, unit, provenance: a row for each quantity of an account."""
+    rows = [F.struct(F.lit(m).alias("measure"), c(m).cast("double").alias("value"), F.lit(unit).alias("unit"), provenance(m).alias("provenance")) for unit, names in MEASURES.items() for m in names]
+    return accounts.select("request", F.inline(F.array(*rows)))
+
+
+def summaries(accounts: DataFrame) -> DataFrame:
+    """request, ok, entries, attempts, reason. An account can always be made, from no entries as well."""
+    reason = F.format_string("reconciled %d entries across %d attempt(s)", c("entries"), c("attempt_count"))
+    return accounts.select("request", F.lit(True).alias("ok"), "entries", c("attempt_count").alias("attempts"), reason.alias("reason"))

@@ -53,8 +53,8 @@ def accounts(key: str = "request", source: str = "ledger", name: str = "acct") -
 {n}_x AS (SELECT r.*, winner, attempt_count, CASE WHEN winner IS NOT NULL THEN 'completed' WHEN canc THEN 'cancelled' ELSE 'failed' END AS outcome,
   CASE WHEN t1 >= t0 THEN (t1 - t0) / 1e9 ELSE 0.0 END AS wall_latency_s, execution_ns / 1e9 AS execution_s, prefill_ns / 1e9 AS prefill_s, decode_ns / 1e9 AS decode_s, gpu_ns / 1e9 AS gpu_s, cpu_ns / 1e9 AS cpu_s,
   tokens AS generated_tokens, spec_ns / 1e9 AS spec_wasted_s, failed_ns / 1e9 AS failed_work_s, cancelled_ns / 1e9 AS cancelled_work_s, queue_ns / 1e9 AS queue_s, batch_wait_ns / 1e9 AS batch_wait_s,
-  transfer_ns / 1e9 AS transfer_s, recomputed_ns / 1e9 AS recomputed_s, greatest(kv_peak, tensor_peak) AS allocation_peak, CAST(0 AS DOUBLE) AS reused_s
+  transfer_ns / 1e9 AS transfer_s, recomputed_ns / 1e9 AS recomputed_s, greatest(kv_peak, tensor_peak) AS allocation_peak, CAST(0 AS DOUBLE) AS reused_s, CAST(0 AS DOUBLE) AS tensor_byte_seconds
   FROM {n}_r r JOIN {n}_c c USING ({p})),
 {n} AS (SELECT *, CASE WHEN execution_s + (failed_work_s + cancelled_work_s + spec_wasted_s) > 0 THEN (failed_work_s + cancelled_work_s + spec_wasted_s) / (execution_s + (failed_work_s + cancelled_work_s + spec_wasted_s)) ELSE 0.0 END AS waste_ratio,
   reuse_avoided_s + reused_s AS reuse_credit, CAST(0 AS DOUBLE) AS reuse_rate, CASE WHEN spec_proposed > 0 THEN CAST(spec_accepted AS DOUBLE) / spec_proposed ELSE 0.0 END AS spec_efficiency,
-  CAST(0 AS DOUBLE) AS cost_per_token, CASE WHEN energy_joules <> 0 THEN 'derived' ELSE 'unavailable' END AS energy_provenance FROM {n}_x)"""
+  CAST(0 AS DOUBLE) AS cost_per_token, CASE WHEN energy_joules > 0 THEN 'derived' ELSE 'unavailable' END AS energy_provenance FROM {n}_x)"""

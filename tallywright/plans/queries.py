@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import batch as B, filters as Q, ingest as I, pricing as P, reports as R
-from ..operators.account import attempts, duration_ns, reconcile, whole, with_ratios, with_requested
+from ..operators.account import MEASURES, attempts, duration_ns, measures, reconcile, summaries, whole, with_ratios, with_requested
 from ..schema import hex_id
 from ..scratch import new_path, written
 from ..sources import frames
@@ -369,14 +369,51 @@ def quantity_text(spark, sf_dir):
     return read_events(spark, sf_dir).select("seq", Q.quantity_text().alias("quantity"))
 
 
-@query("account_json")
+_UNIT_OF = {m: unit for unit, names in MEASURES.items() for m in names}
+_SEEN = {"tensor_byte_seconds": "false", "energy_joules": "energy_joules > 0", "cpu_s": "attempt_count > 0"}
+
+
+@query("account_measures", with_ledger(" UNION ALL ".join(f"SELECT request, '{m}' AS measure, round({m}, 6) AS value, '{unit}' AS unit, CASE WHEN {_SEEN.get(m, 'true')} THEN 'derived' ELSE 'unavailable' END AS provenance FROM kept" for m, unit in _UNIT_OF.items()),
+    accounts_sql(), "kept AS MATERIALIZED (SELECT * FROM acct)"))
+def account_measures(spark, sf_dir):
+    return rounded(measures(accounts(spark, sf_dir)))
+
+
+@query("reconcile_summary", with_ledger("SELECT request, true AS ok, entries, attempt_count AS attempts, 'reconciled ' || entries || ' entries across ' || attempt_count || ' attempt(s)' AS reason FROM acct", accounts_sql()))
+def reconcile_summary(spark, sf_dir):
+    return summaries(accounts(spark, sf_dir))
+
+
+_WHOLE = {"outcome", "generated_tokens", "retries", "attempt_count", "reservations_acquired", "reservations_released", "spec_proposed", "spec_accepted", "spec_rejected", "kernel_hits", "kernel_misses", "graph_hits", "graph_misses"}
+_SHOWN = lambda m: m if m in _WHOLE else f"printf('%.6g', {m})"
+_SUMS = "SELECT * REPLACE (" + ", ".join(f"round({m}, 6) AS {m}" for m in ("model_byte_seconds", "adapter_byte_seconds", "energy_joules", "reuse_avoided_s", "reuse_credit")) + ") FROM acct"
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    """Accounts whose sums of doubles don't depend on their order any more."""
+    return accounts(spark, sf_dir).withColumns({m: F.round(m, 6) for m in ("model_byte_seconds", "adapter_byte_seconds", "energy_joules", "reuse_avoided_s", "reuse_credit")})
+
+
+@query("account_json", with_ledger("""SELECT request, '{' || chr(10) || '  "request":"' || request || '",' || chr(10) || '  "outcome":"' || outcome || '"' || """
+    + " || ".join(f"""',' || chr(10) || '  "{key}":' || {_SHOWN(m)}""" for key, m in R.JSON_KEYS) + " || chr(10) || '}' AS value FROM kept", accounts_sql(), f"kept AS ({_SUMS})"))
 def account_json(spark, sf_dir):
-    return R.account_json(accounts(spark, sf_dir))
+    return R.account_json(_texts(spark, sf_dir))
 
 
-@query("account_text")
+@query("account_text", with_ledger("SELECT request, 'request ' || request || " + " || ".join("chr(10) || '  " + label + "' || " + " || '/' || ".join(_SHOWN(m) for m in names.split("/")) + (" || ' [derived]'" if names == "wall_latency_s" else "")
+    for label, names in R.TEXT_LINES) + " AS value FROM kept", accounts_sql(), f"kept AS ({_SUMS})"))
 def account_text(spark, sf_dir):
-    return R.account_text(accounts(spark, sf_dir))
+    return R.account_text(_texts(spark, sf_dir))
+
+
+@query("list_text", with_ledger("SELECT seq, id || ' ' || event_kind || ' ' || resource_kind || ' ' || printf('%.6g', value) || ' ' || unit || ' req=' || request AS value FROM ledger"))
+def list_text(spark, sf_dir):
+    return R.list_text(read_events(spark, sf_dir))
+
+
+@query("list_csv", with_ledger("SELECT seq, concat_ws(',', id, event_kind, resource_kind, printf('%.6g', value), unit, 'measured', request, attempt, epoch, accounting_gen) AS value FROM ledger"))
+def list_csv(spark, sf_dir):
+    return R.list_csv(read_events(spark, sf_dir))
 
 
 @query("requested_accounts", with_ledger("SELECT r.request, coalesce(outcome, 'failed') AS outcome, coalesce(entries, 0) AS entries, coalesce(generated_tokens, 0) AS generated_tokens FROM (SELECT DISTINCT lpad(lower(to_hex(c_custkey)), 32, '0') AS request FROM customer) r LEFT JOIN acct USING (request)", accounts_sql()))

@@ -1,11 +1,12 @@
+import glob
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import filters, ingest
+from tallywright.operators import filters, ingest, reports
 from tallywright.operators.reports import account_json, account_text, compare
-from tallywright.operators.account import reconcile, with_ratios
+from tallywright.operators.account import measures, reconcile, summaries, with_ratios, with_requested
 from tallywright.schema import EVENT_KINDS, code_of, hex_id, parsed_id
 from tallywright.sources import frames
 
@@ -97,7 +98,8 @@ def test_reports(spark):
     rows = [entry(0, "REQUEST_START"), entry(1, "DECODE", 5, "count", 1.0, 1.5), entry(2, "REQUEST_END", start=2.0), entry(3, "REQUEST_START", request=2)]
     a = with_ratios(reconcile(ledger(spark, rows)))
     assert '"generated_tokens":5' in account_json(a).filter(F.col("request") == ident(1)).first()["value"]
-    assert "  outcome completed\n" in account_text(a).filter(F.col("request") == ident(1)).first()["value"]
+    text = account_text(a).filter(F.col("request") == ident(1)).first()["value"].split("\n")
+    assert len(text) == 34 and text[1:3] == ["  outcome      completed", "  wall_latency_s 1 [derived]"] and "  decode_s     0.5" in text
     pairs = spark.createDataFrame([(ident(1), ident(2))], "request_a string, request_b string")
     got = {r["measure"]: (r["a"], r["b"]) for r in compare(a, pairs).collect()}
     assert got["generated_tokens"] == (5.0, 0.0)
@@ -188,3 +190,31 @@ def test_losses_against_a_fold_of_the_whole_log(spark):
         if want[seq] == "accept":
             flying = flying | {q} if r["event_kind"] == "REQUEST_START" else flying - {q} if r["event_kind"] == "REQUEST_END" else flying
     assert got == want and len(set(want.values())) == 3
+
+
+def test_number_text(spark):
+    rng = random.Random(5)
+    values = [rng.choice([rng.randrange(10**9) * 1.0, rng.random() * 10 ** rng.randrange(-8, 9), rng.randrange(10**8) / 8, rng.randrange(10**7) / 1000]) for _ in range(5000)]
+    values += [0.0, -1.5, 1234565.0, 1234575.0, -1234565.0, 123456.5, 999999.5, 1e20, 1e-5, 0.00009999995, 48128.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(reports.number_text(F.col("v"))).collect()]
+    assert got == [f"{v:.6g}" for v in values]
+
+
+def test_list_as_csv(spark, tmp_path):
+    x = ledger(spark, [entry(i, "KV_ALLOCATE", 1234565 + i, "bytes") for i in range(20)])
+    reports.write_csv(x.repartition(3), str(tmp_path / "csv"))
+    files = [open(f).read().splitlines() for f in sorted(glob.glob(str(tmp_path / "csv" / "*.csv")))]
+    assert {f[0] for f in files} == {reports.CSV_HEADER}
+    assert [line for f in files for line in f[1:]] == [r["value"] for r in reports.list_csv(x).orderBy("seq").collect()]
+    assert files[0][1].startswith(f"{ident(1000)},KV_ALLOCATE,kv,1.23456e+06,bytes,measured,")
+
+
+def test_measures_have_units_and_provenance(spark):
+    a = with_ratios(reconcile(ledger(spark, [entry(0, "ENERGY", 2, "wh"), entry(1, "ENERGY", 0, "wh", request=2)])))
+    got = {(r["request"], r["measure"]): (r["value"], r["unit"], r["provenance"]) for r in measures(a).collect()}
+    assert len(got) == 2 * 29
+    assert got[ident(1), "energy_joules"] == (7200.0, "joules", "derived") and got[ident(2), "energy_joules"] == (0.0, "joules", "unavailable")
+    assert got[ident(1), "tensor_byte_seconds"] == (0.0, "byte-seconds", "unavailable") and got[ident(1), "kv_peak"] == (0.0, "bytes", "derived")
+    none = with_requested(a, spark.createDataFrame([(ident(9),)], "request string"))
+    assert [r["provenance"] for r in measures(none).filter("measure = 'cpu_s'").collect()] == ["unavailable"]
+    assert [r["reason"] for r in summaries(none).collect()] == ["reconciled 0 entries across 0 attempt(s)"]
