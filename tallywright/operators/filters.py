@@ -59,7 +59,7 @@ def has_id(ident: Column) -> Column:
 
 def content(columns: list[str], prefix: str = "") -> Column:
     """What equality of entries looks at: one struct, with maps as sorted entries."""
-    return F.struct(*(F.array_sort(F.map_entries(prefix + k)).alias(k) if k == "metadata" else c(prefix + k).alias(k) for k in columns))
+    return F.struct(*(F.sort_array(F.map_entries(prefix + k)).alias(k) if k == "metadata" else c(prefix + k).alias(k) for k in columns))
 
 
 def distinct_requests(entries: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ c = F.col
 RANGE = 1 << 20
 #: Within blocks of so many seq numbers the last start is found entry by entry.
 BLOCK = 1 << 16
-_NOT_CONTENT = ("seq", "verdict", "status", "_ok")
+_NOT_CONTENT = ("seq", "verdict", "status")
 
 
 def in_force(control: DataFrame, last_seq: int) -> DataFrame:
@@ -105,14 +105,16 @@ def append(entries: DataFrame, known: DataFrame | None = None, keep: tuple[str,
     fresh = c("verdict") == "accept" if "verdict" in entries.columns else F.lit(True)
     # a hash passes over nulls, so their places are hashed as well
     digest = F.xxhash64(F.concat(*(F.when(c(k).isNull(), "0").otherwise("1") for k in columns)), content(columns))
-    x = entries.withColumns({"_ok": F.coalesce(content_valid() & fresh, F.lit(False)), "_hash": digest})
-    first = x.filter("_ok").groupBy("id").agg(F.min(F.struct("seq", "_hash")).alias("_first"))
+    x = entries.withColumns({"_valid": F.coalesce(content_valid(), F.lit(False)), "_fresh": F.coalesce(fresh, F.lit(False)), "_hash": digest})
+    # tests inside the aggregates, not before them: a filter would be pushed below, with what the columns are made of in every place
+    seq = F.when(c("_valid") & c("_fresh"), c("seq"))
+    first = x.groupBy("id").agg(F.min(seq).alias("_seq"), F.min_by("_hash", seq).alias("_one"))
     if known is not None:
-        old = known.select("id", F.struct(F.lit(-1).cast("long").alias("seq"), digest.alias("_hash")).alias("_first"))
-        first = first.unionByName(old).groupBy("id").agg(F.min("_first").alias("_first"))
+        first = first.unionByName(known.select("id", F.lit(-1).cast("long").alias("_seq"), digest.alias("_one")))
+        first = first.groupBy("id").agg(F.min("_seq").alias("_seq"), F.min_by("_one", "_seq").alias("_one"))
     x = x.join(first, "id", "left")
-    status = F.when(~F.coalesce(content_valid(), F.lit(False)), "invalid").when(~c("_ok"), "stale").when(c("seq") == c("_first.seq"), "accepted")
-    return x.withColumn("status", status.when(c("_hash") == c("_first._hash"), "duplicate").otherwise("duplicate_conflict")).drop("_ok", "_hash", "_first")
+    status = F.when(~c("_valid"), "invalid").when(~c("_fresh"), "stale").when(c("seq") == c("_seq"), "accepted")
+    return x.withColumn("status", status.when(c("_hash") == c("_one"), "duplicate").otherwise("duplicate_conflict")).drop("_valid", "_fresh", "_hash", "_seq", "_one")
 
 
 def replay(entries: DataFrame) -> DataFrame:
