@@ -187,13 +187,14 @@ def _allocation(policy: str, weight: str) -> None:
         share, w = "CASE WHEN request = first THEN total ELSE 0.0 END", "CASE WHEN request = first THEN 1.0 ELSE 0.0 END"
     else:
         share, w = "total * CASE WHEN s > 0 THEN w / s ELSE 1.0 / n END", "CASE WHEN s > 0 THEN w ELSE 1.0 END"
-    sql = with_ledger(f"SELECT batch_id AS batch, request AS member, CAST(round({w}, 6) AS DOUBLE) AS weight, CAST(round({share}, 6) AS DOUBLE) AS share FROM x JOIN (SELECT batch_id, sum(w) AS s, count(*) AS n, 2 * sum(gpu_s) AS total, min(request) AS first FROM x GROUP BY 1) t USING (batch_id)",
+    sql = with_ledger(f"SELECT batch_id AS batch, request AS member, CAST(round({w}, 6) AS DOUBLE) AS weight, CAST(floor(({share}) * 1000000 + 0.5) / 1000000 AS DOUBLE) AS share FROM x JOIN (SELECT batch_id, sum(w) AS s, count(*) AS n, 2 * (CAST(sum(CAST(round(gpu_s * 1e9) AS BIGINT)) AS BIGINT) / CAST(1e9 AS DOUBLE)) AS total, min(request) AS first FROM x GROUP BY 1) t USING (batch_id)",
                       _BATCH_ROWS, _MEMBERS, f"x AS (SELECT batch_id, request, gpu_s, CAST({weight} AS DOUBLE) AS w FROM m)")
 
     def run(spark, sf_dir):
         m = written(members(spark, sf_dir).withColumn("member", c("request")), "members")
-        totals = m.groupBy("batch").agg((2 * F.sum("gpu_s")).alias("total"))
-        return rounded(B.allocate(m, totals, policy))
+        # whole nanoseconds add up the same in any order, and a share at a half is rounded as the SQL does it
+        totals = m.groupBy("batch").agg((2 * (F.sum(F.round(c("gpu_s") * 1e9).cast("long")) / 1e9)).alias("total"))
+        return B.allocate(m, totals, policy).select("batch", "member", F.round("weight", 6).alias("weight"), (F.floor(c("share") * 1000000 + 0.5) / 1000000).alias("share"))
 
     query(name, sql)(run)
 
