@@ -218,3 +218,35 @@ def test_measures_have_units_and_provenance(spark):
     none = with_requested(a, spark.createDataFrame([(ident(9),)], "request string"))
     assert [r["provenance"] for r in measures(none).filter("measure = 'cpu_s'").collect()] == ["unavailable"]
     assert [r["reason"] for r in summaries(none).collect()] == ["reconciled 0 entries across 0 attempt(s)"]
+
+
+def test_files_are_read_frame_by_frame(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a b%20c"  # a name that a URI would escape
+    assert frames.write(ledger(spark, [entry(i, "DECODE", i) for i in range(20)]), str(folder), files=1).count() == 1
+    name, asked = str(folder / "part-00000.frames"), []
+
+    class Counted:
+        def __init__(self, data):
+            self.data = data
+
+        def read(self, n):
+            asked.append(n)
+            return self.data.read(n)
+
+    with open(name, "rb") as f:
+        size = len(f.read())
+        f.seek(0)
+        assert [e["value"] for e in frames._frames(Counted(f), size)] == [float(i) for i in range(20)]
+    assert max(asked) < 400 < size / 20 * 2  # no read of more than a frame
+    assert "content" not in frames._files(spark, str(folder)).columns  # no file is a row
+    assert [r["value"] for r in frames.load(spark, str(folder)).orderBy("seq").collect()] == [float(i) for i in range(20)]
+    monkeypatch.setattr(frames, "PER_FILE", 7)
+    assert frames.write(ledger(spark, [entry(i, "DECODE", i) for i in range(20)]), str(tmp_path / "more")).count() == 3
+
+
+def test_files_of_the_queries_grow_in_number_with_the_entries(spark, small, monkeypatch):
+    from tallywright.plans import queries
+
+    n = spark.read.parquet(f"{small}/events.parquet").count()
+    monkeypatch.setattr(frames, "PER_FILE", n // 8)
+    assert len(glob.glob(f"{queries._framed(spark, small).removeprefix('file://')}/*.frames")) >= 8
