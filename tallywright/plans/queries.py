@@ -301,7 +301,7 @@ def fence_verdict(spark, sf_dir):
 @query("coordinator_status", with_ledger("SELECT verdict, CASE WHEN verdict = 'accept' THEN 'accepted' ELSE 'stale' END AS status, count(*) AS n FROM v GROUP BY ALL", _FENCED))
 def coordinator_status(spark, sf_dir):
     e = read_events(spark, sf_dir)
-    return I.append(I.fence(e, control_log(e))).groupBy("verdict", "status").agg(F.count("*").alias("n"))
+    return I.coordinate(e, control_log(e)).groupBy("verdict", "status").agg(F.count("*").alias("n"))
 
 
 @query("coordinator_with_losses")
@@ -310,7 +310,7 @@ def coordinator_with_losses(spark, sf_dir):
     e = read_events(spark, sf_dir)
     middle = (e.agg(F.max("seq")).first()[0] or 0) // 2
     lost = spark.createDataFrame([(middle, "WORKER_LOST", None, None)], "seq long, kind string, worker string, boot string")
-    now = I.append(I.fence(e.withColumns({"epoch": F.when(c("seq") > middle, 2).otherwise(1).cast("long"), "accounting_gen": F.when(c("seq") > middle, 2).otherwise(1).cast("long"), "auth_worker_boot": hex_id(F.lit(1))}), lost.unionByName(control_log(e).filter("seq = -1"))))
+    now = I.coordinate(e.withColumns({"epoch": F.when(c("seq") > middle, 2).otherwise(1).cast("long"), "accounting_gen": F.when(c("seq") > middle, 2).otherwise(1).cast("long"), "auth_worker_boot": hex_id(F.lit(1))}), lost.unionByName(control_log(e).filter("seq = -1")))
     return now.groupBy("verdict", "status").agg(F.count("*").alias("n"))
 
 

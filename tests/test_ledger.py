@@ -250,3 +250,41 @@ def test_files_of_the_queries_grow_in_number_with_the_entries(spark, small, monk
     n = spark.read.parquet(f"{small}/events.parquet").count()
     monkeypatch.setattr(frames, "PER_FILE", n // 8)
     assert len(glob.glob(f"{queries._framed(spark, small).removeprefix('file://')}/*.frames")) >= 8
+
+
+def test_losses_fold_whole_rows_nowhere(spark):
+    rng = random.Random(23)
+    for losses in ([30], [20, 21, 60, 61, 62, 110]):
+        rows = []
+        for i in (i for i in range(130) if i not in losses):
+            epoch = 1 + sum(i > x for x in losses) - (rng.random() < 0.2)
+            rows.append(entry(i, rng.choice(["REQUEST_START", "DECODE", "DECODE", "REQUEST_END"]), 1, request=rng.randint(1, 9), attempt=rng.randint(1, 2)) | dict(epoch=epoch, accounting_gen=epoch))
+        x = ingest.fence(ledger(spark, rows), control(spark, *((x, "WORKER_LOST", None, None) for x in losses), (70, "ROLL", None, None)))
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "InPandas" not in plan  # a request with a third of all entries would be folded by one task
+        got = {r["seq"]: (r["verdict"], r["rolled"]) for r in x.collect()}
+        rolled, flying, started, want, at = set(), set(), {}, {}, 0
+        for r in rows:
+            seq, q, kind = r["seq"], r["request"], r["event_kind"]
+            while at < len(losses) and losses[at] < seq:
+                rolled, at = rolled | flying, at + 1
+            if kind == "REQUEST_START":
+                started[q], rolled = r["auth_attempt"], rolled - {q}
+            now = 1 + sum(seq > y for y in (*losses, 70))
+            stale = q in rolled or started.get(q, r["auth_attempt"]) != r["auth_attempt"]
+            want[seq] = ("stale_epoch" if r["epoch"] != now else "stale_generation" if stale else "accept", q in rolled)
+            if want[seq][0] == "accept":
+                flying = flying | {q} if kind == "REQUEST_START" else flying - {q} if kind == "REQUEST_END" else flying
+        assert got == want and any(r for _, r in want.values())
+
+
+def test_coordinate_equals_append_of_fence(spark, small):
+    from tallywright.plans.queries import control_log
+    from tallywright.sources.events import read_events
+
+    e = read_events(spark, small)
+    x = e.unionByName(e.filter("seq % 3 = 0").withColumn("seq", F.col("seq") + 2000)).unionByName(e.filter("seq % 7 = 0").withColumns({"seq": F.col("seq") + 4000, "tenant": F.lit(ident(3))}))
+    log = control_log(e).replace("ROLL", "WORKER_LOST", "kind")
+    told = lambda df: sorted((r["seq"], r["id"], r["verdict"], r["status"]) for r in df.collect())
+    now = told(ingest.coordinate(x, log))
+    assert now == told(ingest.append(ingest.fence(x, log))) and {s for *_, s in now} == {"accepted", "duplicate", "duplicate_conflict", "stale"}
