@@ -288,3 +288,25 @@ def test_coordinate_equals_append_of_fence(spark, small):
     told = lambda df: sorted((r["seq"], r["id"], r["verdict"], r["status"]) for r in df.collect())
     now = told(ingest.coordinate(x, log))
     assert now == told(ingest.append(ingest.fence(x, log))) and {s for *_, s in now} == {"accepted", "duplicate", "duplicate_conflict", "stale"}
+
+
+def test_decoding_at_once_equals_decoding_by_field():
+    rng, kept = random.Random(4), 0
+
+    def told(f, payload):
+        try:
+            return f(payload)
+        except (frames.Rejected, UnicodeDecodeError) as e:
+            return str(e)
+
+    for i in range(1500):
+        e = entry(i, "DECODE", i, end=rng.choice([None, 2.0]), adapter=rng.choice([None, ident(4)]), accounting_policy=rng.choice([None, ident(8)]), pricing_policy=rng.choice([None, ident(3)]), metadata=rng.choice([{}, {"b": "é", "a": ""}]))
+        payload = bytearray(frames.encode(e)[8:])
+        assert {k: v for k, v in frames.decode(bytes(payload)).items()} == {k: v for k, v in e.items() if k != "seq"}
+        for _ in range(rng.randint(1, 3)):
+            payload[rng.randrange(len(payload))] = rng.choice([0, 1, 2, 255])
+        payload = bytes(payload[: rng.choice([len(payload), len(payload), rng.randrange(1, len(payload))])]) + rng.choice([b"", b"", b"x"])
+        a, b = told(frames.decode, payload), told(frames._decode_by_field, payload)
+        assert repr(a) == repr(b)
+        kept += isinstance(a, dict)
+    assert 50 < kept < 1450
