@@ -199,6 +199,23 @@ def test_passages_of_clashing_ids_and_long_texts(spark):
     assert any(r["doc_id"] == 3 and r["start_word"] == 9_000 for r in got)
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from tallywright.llm.scratch import written
+
+    name, folder = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    before, files = spark.conf.get(name, None), set(folder.rglob("shuffle_*.data"))
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")).join(spark.range(7).withColumnRenamed("id", "k").hint("merge"), "k"), "counts")
+    for _ in range(50):  # executors are told to delete, not waited for
+        if not (left := set(folder.rglob("shuffle_*.data")) - files):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name, None) == before
+    assert sum(r["n"] for r in table.collect()) == 1000
+
+
 def test_fingerprint_against_plain_votes():
     """Each shingle of three words votes with 1 + log(times) on each bit by its hash."""
     import numpy as np
