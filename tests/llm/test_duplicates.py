@@ -239,3 +239,17 @@ def test_fingerprint_against_plain_votes():
                     votes[word * 64 + bit] += weight if h >> (63 - bit) & 1 else -weight
         assert [int(x > 1e-9) for x in votes] == np.unpackbits(row).tolist()
     assert [simhash.blocks_for(n, 3) for n in (1, 2**16, 2**32, 2**33, 2**40)] == [4, 4, 4, 5, 5]
+
+
+def test_near_passages_of_documents_that_are_no_hubs(spark):
+    """Two of the four documents that have a core of 40 words are near each other; the first and the last one are near none."""
+    rng, rows = random.Random(31), []
+    for i in range(150):
+        core, before, after = prose(rng, 40), prose(rng, 6), prose(rng, 7)
+        other = [*before[:5], "edit"]
+        for j, (a, b) in enumerate(((prose(rng, 6), prose(rng, 7)), (before, after), (other, after), (prose(rng, 6), prose(rng, 7)))):
+            rows.append((4 * i + j, " ".join(prose(rng, 40) + a + core + b + prose(rng, 40))))
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    hubs, every = ({(r["doc_id"], r["of_doc_id"]) for r in passages.passages(docs, **how).collect()} for how in ({}, {"all_partners": True}))
+    pairs = {(4 * i + j, 4 * i + 3 - j) for i in range(150) for j in (1, 2)}
+    assert hubs < every <= pairs, (len(hubs), len(every), len(pairs))
